@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.llm.host_quality import op4_host_quality
+from tessera.llm.mixing import op7_entropy_mixing
 from tessera.llm.simhash import op1_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_host_quality, op7_entropy_mixing)}
 ORACLES: dict[str, str] = {}
