@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 from tessera.llm.host_quality import op4_host_quality
+from tessera.llm.licenses import op3_license_scan
 from tessera.llm.mixing import op7_entropy_mixing
 from tessera.llm.simhash import op1_simhash_near_dedup
+from tessera.llm.topk_nra import op6_nra_top_k
+from tessera.llm.url_rules import op5_url_rules
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_host_quality, op7_entropy_mixing)}
+_ALL = (
+    op1_simhash_near_dedup,
+    op3_license_scan,
+    op4_host_quality,
+    op5_url_rules,
+    op6_nra_top_k,
+    op7_entropy_mixing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
