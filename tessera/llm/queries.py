@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from tessera.llm.host_quality import op4_host_quality
 from tessera.llm.licenses import op3_license_scan
+from tessera.llm.line_dedup import op8_fuzzy_line_dedup
 from tessera.llm.mixing import op7_entropy_mixing
+from tessera.llm.packing import op10_lexical_packing
 from tessera.llm.simhash import op1_simhash_near_dedup
 from tessera.llm.topk_nra import op6_nra_top_k
 from tessera.llm.url_rules import op5_url_rules
@@ -16,6 +18,8 @@ _ALL = (
     op5_url_rules,
     op6_nra_top_k,
     op7_entropy_mixing,
+    op8_fuzzy_line_dedup,
+    op10_lexical_packing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
