@@ -155,7 +155,8 @@ def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text")
     marked = counted(docs, [host_col], text_col).withColumn("base_failed", base_failed())
     hosts = cut(host_rates(marked, host_col), "hosts")
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[host_col].alias("host_of"))
-    kept = _counted(held, lambda b: b.column(0).flatten()[docs.columns.index(text_col)]).where(~base_failed())
+    at = docs.columns.index(text_col)
+    kept = _counted(held, lambda batch: batch.column(0).flatten()[at]).where(~base_failed())
     joined = kept.join(hosts.where("host_bad"), kept["host_of"].eqNullSafe(hosts["host"]), "left")
     return joined.where(~(soft_failed() & F.coalesce("host_bad", F.lit(False)))).select("row.*")
 
