@@ -1,35 +1,6 @@
-"""Named queries over the test tables, each with the SQL that gives the same rows."""
+"""All named queries; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.tables import load
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Register a query under a name, with its SQL where SQL can express it."""
-
-    def add(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-
-    return add
-
-
-@query(
-    "ft_agg_filter_group_sort",
-    """SELECT l_linestatus, count(*) AS n, sum(l_extendedprice) AS revenue FROM lineitem
-    WHERE l_quantity BETWEEN 10 AND 40 AND lower(trim(l_returnflag)) = 'r' GROUP BY 1""",
-)
-def ft_agg_filter_group_sort(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").where("l_quantity between 10 and 40 and lower(trim(l_returnflag)) = 'r'")
-    return rows.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("revenue"))
+from tessera.plans import core_queries, series_queries  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES  # noqa: F401
