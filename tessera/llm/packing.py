@@ -6,9 +6,8 @@ documents by BM25 with the seed as query, and these fill the window in that orde
 that doesn't fit is cut at the window's end and its rest stays in the pool. So every window but a shard's last is full,
 and the last, if short, is split at powers of two, which need no padding, as far as that saves padding.
 
-Tokenising caches words: the tokenizer drops white space, so a text is the concatenation of its space-separated chunks.
-Chunks that a worker hasn't met are tokenised together, parted by a special token. Two generations of chunks bound the
-cache.
+Tokenising caches words: the tokenizer drops white space, so a text is the concatenation of its space-separated chunks,
+and a chunk that of its pieces. Two generations of entries bound the caches.
 
 Null texts are empty; an empty document is its end token alone. Documents longer than a window are cut as any other.
 Repeated rows and ids are separate documents. Extra columns are ignored; an empty table gives an empty result.
@@ -16,19 +15,21 @@ Repeated rows and ids are separate documents. Extra columns are ignored; an empt
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 4096
 SHARD_DOCS = 1024
 END_ID = 2
-CACHE = 150_000
+CACHE = 200_000
 K1, B = 1.2, 0.75
 
 
@@ -38,8 +39,32 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Cache(dict):
+    """A memo of make(key) in two generations: a full one becomes the old one, whose keys move over when met again."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class ChunkTokenizer:
-    """Ids of whole texts, by a cache over chunks; ids are those of one encode call for the whole text."""
+    """Ids of whole texts, equal to those of one encode call for each.
+
+    Blank-separated chunks are cut into the pre-tokenizer's pieces, and new pieces go to the model alone. It holds for
+    vocabularies of this kind only: lower case, no white space, pieces of letters, single digits and other runs.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -47,55 +72,50 @@ class ChunkTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.inner.no_truncation()
         self.inner.no_padding()
-        self.part = "<|endoftext|>"
-        self.part_id = self.inner.token_to_id(self.part)
-        self.cache = cache
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.inner.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.new) > self.cache:
-            self.old, self.new = self.new, {"": b""}
-        fresh = []
-        for chunk in chunks:
-            if chunk in self.new:
-                continue
-            found = self.old.get(chunk)
-            if found is not None:
-                self.new[chunk] = found
-            elif "<" in chunk or not chunk.isprintable():  # may hold a special token, or white space that isn't a blank
-                self.new[chunk] = self._ids(chunk).tobytes()
-            else:
-                fresh.append(chunk)
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            ids = self._ids(self.part.join(some))
-            parts = np.split(ids, np.flatnonzero(ids == self.part_id))
-            if len(parts) != len(some):
-                parts = [self._ids(x) for x in some]
-            else:
-                parts[1:] = [p[1:] for p in parts[1:]]
-            for chunk, part in zip(some, parts, strict=True):
-                self.new[chunk] = part.tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        at = 0
-        while at < len(texts):
-            split, size = [], 0
-            while at < len(texts) and size < 1 << 21:
-                split.append(texts[at].replace("\n", " ").split(" "))
-                size += len(texts[at])
-                at += 1
-            self.learn({c for chunks in split for c in chunks})
-            get = self.new.__getitem__
-            for chunks in split:
-                yield b"".join(map(get, chunks))
-
-
+        self.model = self.inner.model
+        self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.find = regex.compile(
+            r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+        ).findall
+        self.pieces = _Cache(self._piece, 2 * cache)
+        self.chunks = _Cache(self._chunk, cache)
+
+    def _piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() and piece.isprintable() else "".join(BYTE_CHARS[b] for b in piece.encode())
+        return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():  # most are a word, or a word and a mark
+            if chunk.isalpha():
+                return self.pieces[chunk.lower()]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+                return self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
+        if "<|" in chunk and any(t in chunk for t in self.special):
+            return np.array(self.inner.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        text = unicodedata.normalize("NFC", chunk)
+        # a capital sigma has one lower case here, wherever it stands
+        text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
+        if text.isalpha():
+            return self.pieces[text]
+        if text[:-1].isalpha() and text[-1] in ".,;:!?":
+            return self.pieces[text[:-1]] + self.pieces[text[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text."""
+        self.pieces.turn()
+        self.chunks.turn()
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte: printable ones for themselves, others from 256 on in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
@@ -116,7 +136,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [x + end for x in coder.encode([x or "" for x in part.column(1).to_pylist()])]
+                ids = [coder.encode(x.as_py() or "") + end for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack(x) for x in ids], pa.binary())], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
