@@ -18,9 +18,8 @@ def merged_count(sketches: DataFrame) -> DataFrame:
 
 
 def hash_slots(item, depth: int, width: int):
-    """depth independent places of an item among width, by double hashing."""
-    a, b = F.xxhash64(item), F.xxhash64(item, F.lit(1)).bitwiseOR(F.lit(1))
-    return F.array(*[F.pmod(a + b * i, F.lit(width)) for i in range(depth)])
+    """depth independent places of an item among width."""
+    return F.array(*[F.pmod(F.xxhash64(item, F.lit(i)), F.lit(width)) for i in range(depth)])
 
 
 def bloom_shape(capacity: int, error: float) -> tuple[int, int]:

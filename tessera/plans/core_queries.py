@@ -25,7 +25,7 @@ def kv(spark, sf):
 
 
 KV = """kv AS (SELECT 'order:' || o_orderkey AS key, o_orderpriority AS value, o_orderkey,
-  CASE WHEN o_orderkey % 5 <> 0 THEN epoch_ms(o_orderdate) + 7776000000 END AS expire_ms FROM orders)"""
+  CASE WHEN o_orderkey % 5 <> 0 THEN (epoch_us(o_orderdate) // 1000) + 7776000000 END AS expire_ms FROM orders)"""
 
 
 def segments(spark, sf):

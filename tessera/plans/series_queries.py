@@ -20,7 +20,7 @@ def samples(spark, sf, unit: int = 1):
 
 
 def T(unit: int = 1) -> str:
-    return f"t AS (SELECT event_type AS series, epoch_ms(ts) - epoch_ms(ts) % {unit} AS ts, value, event_id AS seq FROM events)"
+    return f"t AS (SELECT event_type AS series, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % {unit} AS ts, value, event_id AS seq FROM events)"
 
 
 @query("ts_range", f"WITH {T()} SELECT series, ts, value FROM t WHERE ts BETWEEN {START + DAY} AND {START + 3 * DAY}")
@@ -38,11 +38,11 @@ for _how, _sql in _SQL.items():
     @query(
         f"ts_agg_{_how.replace('.', '')}",
         f"WITH {T()}, d AS (SELECT series, ts, max_by(value, seq) AS value FROM t GROUP BY 1, 2) "
-        f"SELECT series, (ts - 500) // {DAY} * {DAY} + 500 AS ts, round({_sql}, 4) AS value FROM d GROUP BY 1, 2",
+        f"SELECT series, (ts - 500) // {DAY} * {DAY} + 500 AS ts, round({_sql} + 1.23e-6, 4) AS value FROM d GROUP BY 1, 2",
     )
     def _(spark, sf, how=_how):
         rows = ts.aggregated(ts.deduplicated(samples(spark, sf), "last"), how, DAY, 500)
-        return rows.select("series", "ts", F.round("value", 4).alias("value"))
+        return rows.select("series", "ts", F.round(F.col("value") + 1.23e-6, 4).alias("value"))
 
 
 for _policy, _sql in {"first": "min_by(value, seq)", "last": "max_by(value, seq)", "min": "min(value)", "max": "max(value)", "sum": "sum(value)"}.items():
@@ -99,7 +99,7 @@ def _(spark, sf):
     return ts.query_index(held, ["seg=(BUILDING,MACHINERY)", "nation!=3", "none=", "seg!="]).select("c_custkey")
 
 
-@query("ts_mrange_labels", f"WITH {T()} SELECT user_id % 3 AS grp, epoch_ms(ts) // {DAY} * {DAY} AS ts, round(sum(value), 3) AS value FROM events WHERE event_type <> 'error' GROUP BY 1, 2")
+@query("ts_mrange_labels", f"WITH {T()} SELECT user_id % 3 AS grp, epoch_us(ts) // 1000 // {DAY} * {DAY} AS ts, round(sum(value), 3) AS value FROM events WHERE event_type <> 'error' GROUP BY 1, 2")
 def _(spark, sf):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     e = load(spark, sf, "events").where("event_type <> 'error'").select((F.col("user_id") % 3).alias("series"), ms.alias("ts"), "value")
@@ -211,7 +211,7 @@ def _(spark, sf):
     return sketches.top_k(load(spark, sf, "events"), "user_id", 10).where("n >= 5")
 
 
-@query("dedup_window", f"SELECT event_id, CASE WHEN lag(epoch_ms(ts)) OVER w IS NULL OR epoch_ms(ts) - lag(epoch_ms(ts)) OVER w > {DAY} THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY epoch_ms(ts))")
+@query("dedup_window", f"SELECT event_id, CASE WHEN lag(epoch_us(ts) // 1000) OVER w IS NULL OR (epoch_us(ts) // 1000) - lag(epoch_us(ts) // 1000) OVER w > {DAY} THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY epoch_us(ts) // 1000)")
 def _(spark, sf):
     e = load(spark, sf, "events").select("event_id", F.col("event_type").alias("bucket"), F.col("user_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
     return sketches.dedup_window(e, DAY).select("event_id", "fresh")
@@ -224,7 +224,7 @@ def log(spark, sf):
     return streams.with_ids(e.select(F.col("event_type").alias("stream"), (ms - ms % HOUR).alias("ms"), "event_id", "user_id", "value", "props"), "event_id")
 
 
-X = f"x AS (SELECT event_type AS stream, epoch_ms(ts) // {HOUR} * {HOUR} AS ms, event_id, user_id, value, props, row_number() OVER (PARTITION BY event_type, epoch_ms(ts) // {HOUR} ORDER BY event_id) - 1 AS seq FROM events)"
+X = f"x AS (SELECT event_type AS stream, epoch_us(ts) // 1000 // {HOUR} * {HOUR} AS ms, event_id, user_id, value, props, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 1000 // {HOUR} ORDER BY event_id) - 1 AS seq FROM events)"
 
 
 @query("x_add_ids", f"WITH {X} SELECT stream, ms, seq, event_id FROM x")
@@ -232,7 +232,7 @@ def _(spark, sf):
     return log(spark, sf).select("stream", "ms", "seq", "event_id")
 
 
-@query("x_range", f"WITH {X} SELECT stream, ms, seq, event_id FROM x WHERE (ms, seq) >= ({START + DAY}, 1) AND (ms, seq) <= ({START + 2 * DAY}, 0)")
+@query("x_range", f"WITH {X} SELECT stream, ms, seq, event_id FROM x WHERE (ms > {START + DAY} OR (ms = {START + DAY} AND seq >= 1)) AND (ms < {START + 2 * DAY} OR (ms = {START + 2 * DAY} AND seq <= 0))")
 def _(spark, sf):
     return streams.xrange(log(spark, sf), (START + DAY, 1), (START + 2 * DAY, 0)).select("stream", "ms", "seq", "event_id")
 
@@ -242,7 +242,7 @@ def _(spark, sf):
     return streams.xtrim(log(spark, sf), 10).select("stream", "ms", "seq")
 
 
-@query("x_read", f"WITH {X} SELECT stream, ms, seq FROM x WHERE stream IN ('click', 'error') AND (ms, seq) > ({START + DAY}, 0) QUALIFY row_number() OVER (PARTITION BY stream ORDER BY ms, seq) <= 7")
+@query("x_read", f"WITH {X} SELECT stream, ms, seq FROM x WHERE stream IN ('click', 'error') AND (ms > {START + DAY} OR (ms = {START + DAY} AND seq > 0)) QUALIFY row_number() OVER (PARTITION BY stream ORDER BY ms, seq) <= 7")
 def _(spark, sf):
     after = spark.createDataFrame([("click", START + DAY, 0), ("error", START + DAY, 0)], "stream string, after_ms long, after_seq long")
     return streams.xread(log(spark, sf), after, 7).select("stream", "ms", "seq")
