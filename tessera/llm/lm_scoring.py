@@ -164,19 +164,28 @@ def build_tries(training: DataFrame, ranks, totals, shards: int) -> DataFrame:
     return counted.groupBy("shard").applyInPandas(build, "shard long, trie binary, u array<long>, mass array<double>")
 
 
+def send_files(table: DataFrame) -> tuple[str, ...]:
+    """Names of a written table's files, which every executor fetches before its next task."""
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(table._tessera_path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    paths = [s.getPath() for s in found if s.getPath().getName().endswith(".parquet")]
+    for path in paths:
+        spark.sparkContext.addFile(path.toString())
+    return tuple(sorted(path.getName() for path in paths))
+
+
 @cache
-def mapped_tries(folder: str) -> dict[int, Trie]:
+def mapped_tries(model: str, names: tuple[str, ...]) -> dict[int, Trie]:
     """The model's tries, mapped from files that the executor's first worker unpacks beside the fetched ones."""
-    source = SparkFiles.get(folder)
-    target = f"{source}.mapped"
+    target = f"{SparkFiles.getRootDirectory()}/{model}"
     if not os.path.isdir(target):
         making = f"{target}.{os.getpid()}"
         os.makedirs(making, exist_ok=True)
-        for name in sorted(os.listdir(source)):
-            if name.endswith(".parquet"):
-                for batch in pq.ParquetFile(f"{source}/{name}").iter_batches(batch_size=1, columns=["shard", "trie"]):
-                    with open(f"{making}/{batch.column(0)[0].as_py()}", "wb") as out:
-                        out.write(batch.column(1)[0].as_buffer())
+        for name in names:
+            for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(batch_size=1, columns=["shard", "trie"]):
+                with open(f"{making}/{batch.column(0)[0].as_py()}", "wb") as out:
+                    out.write(batch.column(1)[0].as_buffer())
         try:
             os.rename(making, target)
         except OSError:  # another worker was first
@@ -238,7 +247,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     taken = model.select(F.explode(F.arrays_zip("u", "mass")).alias("x")).groupBy("x.u").agg(F.sum("x.mass").alias("mass")).toArrow()
     left = np.ones(VOCABULARY + 2)
     left[np.array(taken.column(0), dtype=np.int64)] -= np.array(taken.column(1), dtype=np.float64)
-    spark.sparkContext.addFile(model._tessera_path, recursive=True)
+    names = send_files(model)
     folder = model._tessera_path.rsplit("/", 1)[1]
     p1 = (totals + 1) / (n + in_model + 2)
     known = spark.sparkContext.broadcast((c, p1, left))
@@ -247,7 +256,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, single, rest = known.value
-        tries = mapped_tries(folder)
+        tries = mapped_tries(folder, names)
         row = TaskContext.get().partitionId() << 40
         for part, chunk in chunks(batches, 2, ranks.value):
             at = chunk.doc[chunk.is_word]
