@@ -25,11 +25,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a new, short lineage with known sizes."""
+    """Write df to the shared folder and read it back: a new, short lineage with known sizes.
+
+    What the write shuffled is removed as soon as the table stands.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -46,6 +57,6 @@ def drop(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that were cut."""
+    """Let Spark's cleaner remove what plans that nothing refers to any more have left."""
     gc.collect()
     spark._jvm.System.gc()
