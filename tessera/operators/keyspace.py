@@ -5,6 +5,7 @@ A keyspace is a DataFrame with key, a value column and, where keys can expire, e
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,8 +153,6 @@ def slot(key: str) -> int:
 
 
 def key_slot() -> object:
-    import pandas as pd
-
     @F.pandas_udf("int")
     def run(keys: pd.Series) -> pd.Series:
         return keys.map(lambda k: None if k is None else slot(k))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,9 +81,6 @@ def lcs():
 
     Rows of the table are kept as vectors; the walk back takes the left string's step first on ties.
     """
-    import numpy as np
-    import pandas as pd
-
     def one(a: str | None, b: str | None) -> str | None:
         if a is None or b is None:
             return None
