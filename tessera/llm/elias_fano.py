@@ -1,7 +1,7 @@
 """Elias-Fano sequences and an n-gram trie on them, in flat arrays that can be mapped from a file.
 
 A monotone sequence is split into low bits, kept as they are in whole bytes, and high bits, kept in unary with a select
-sample for every 64th element. A block of 64 is decoded by reading its samples' span of the bitmap, so lookups cost in
+sample for every 16th element. A block of 16 is decoded by reading its samples' span of the bitmap, so lookups cost in
 proportion to the blocks they touch, whatever the sequence's length.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 64
+BLOCK = 16
 
 
 class EliasFano:
