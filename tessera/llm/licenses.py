@@ -109,7 +109,12 @@ SENTENCES = [
     ("public-domain", r"(?:dedicated|released|placed) (?:in|into|to) the public domain", "domain", 50, 0.8),
     ("zlib", r"this software is provided as is without any express or implied warranty", "implied", 60, 0.8),
     ("bsl-1", r"permission is hereby granted free of charge to any person or organization obtaining a copy", "hereby", 95, 1.0),
+    ("cc-by-nc-sa", r"cc by nc sa(?: [1-4] [05])?", "cc", 87, 0.95),
+    ("cc-by-nc-nd", r"cc by nc nd(?: [1-4] [05])?", "cc", 87, 0.95),
     ("cc-by-nc", r"cc by nc(?: [1-4] [05])?", "cc", 85, 0.95),
+    ("cc-by-sa", r"cc by sa(?: [1-4] [05])?", "cc", 85, 0.95),
+    ("cc-by-nd", r"cc by nd(?: [1-4] [05])?", "cc", 85, 0.95),
+    ("cc-by", r"cc by [1-4] [05]", "cc", 85, 0.95),
     ("proprietary", r"all rights reserved", "reserved", 10, 0.3),
     ("proprietary", r"(?:confidential and proprietary|proprietary and confidential)", "proprietary", 45, 0.8),
     ("copyright", r"copyright (?:c )?(?:[0-9]{4}|by )", "copyright", 5, 0.2),
