@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 SHARD_DOCS = 1024
 END_ID = 2
-CACHE = 200_000
+CACHE = 300_000
 K1, B = 1.2, 0.75
 
 
