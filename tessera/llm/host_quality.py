@@ -1,9 +1,10 @@
 """Host-level quality rules with empirical-Bayes shrinkage.
 
-Every document gets exact counts over its whole text and a set of rule failures. Failures are aggregated by host
-(the source column), each host's failure rate is shrunk towards a beta prior fitted to all hosts by moments, and the
-host's verdict is joined back: a document of a bad host must fail no rule at all, any other document must only pass the
-base rules. So a clean document is kept whatever its host.
+Every document gets exact counts over its whole text and a set of rule failures. The failures of every rule, base and
+soft, are aggregated by host (the source column), and each rate is shrunk towards its rule's beta prior, fitted to all
+hosts by moments. A host is bad if one of its shrunk rates is above BAD_HOST_SDS standard deviations of the prior over
+the prior's mean, or above BAD_HOST_RATE. The host's verdict is joined back: a document of a bad host must fail no rule
+at all, any other document must only pass the base rules. So a clean document is kept whatever its host.
 
 Nulls and empty texts have no words and fail the base rule. A null source is a host of its own. Repeated rows count as
 often as they occur. Extra columns are ignored; an empty table gives an empty result.
@@ -12,6 +13,8 @@ often as they occur. Extra columns are ignored; an empty table gives an empty re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ WINDOW = 8
 #: Softer rules, which only count against documents of bad hosts.
 SOFT = {"symbols": 0.1, "dup_lines": 0.3, "short_mean": 2.0, "long_mean": 20.0}
 BAD_HOST_RATE = 0.5
+BAD_HOST_SDS = 2.0
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _NOT_STARTS = bytes(range(0x80, 0xC0))
@@ -97,37 +101,66 @@ def _counted(rows: DataFrame, texts) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def base_rules() -> dict[str, F.Column]:
+    return {
+        "few_words": F.col("n_words") < MIN_WORDS,
+        "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
+    }
+
+
+def soft_rules() -> dict[str, F.Column]:
+    mean = F.col("word_chars") / F.greatest("n_words", F.lit(1))
+    return {
+        "symbols": F.col("n_symbols") > SOFT["symbols"] * F.col("n_words"),
+        "dup_lines": F.col("n_dup_lines") > SOFT["dup_lines"] * F.col("n_lines"),
+        "short_mean": mean < SOFT["short_mean"],
+        "long_mean": mean > SOFT["long_mean"],
+    }
+
+
+def _any(rules: dict[str, F.Column]) -> F.Column:
+    return reduce(or_, rules.values())
+
+
 def base_failed() -> F.Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return _any(base_rules())
 
 
 def soft_failed() -> F.Column:
-    mean = F.col("word_chars") / F.greatest("n_words", F.lit(1))
-    return (
-        (F.col("n_symbols") > SOFT["symbols"] * F.col("n_words"))
-        | (F.col("n_dup_lines") > SOFT["dup_lines"] * F.col("n_lines"))
-        | (mean < SOFT["short_mean"])
-        | (mean > SOFT["long_mean"])
-    )
+    return _any(soft_rules())
 
 
 def host_rates(marked: DataFrame, host_col: str) -> DataFrame:
-    """(host, n_docs, n_failed, rate, host_bad); the prior is one row, fitted to all hosts by moments."""
+    """(host, n_docs, n_failed, rate, host_bad) of rows with COUNTS; n_failed and rate are of documents that fail any rule.
+
+    The priors are one row, fitted to all hosts by moments, each rule on its own.
+    """
+    rules = base_rules() | soft_rules()
+    rules["any"] = _any(rules)
     hosts = marked.groupBy(F.col(host_col).alias("host")).agg(
-        F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")
-    )
-    raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(
-        (F.sum("n_failed") / F.sum("n_docs")).alias("m"), F.var_pop(raw).alias("v"), F.avg(1 / F.col("n_docs")).alias("per")
+        F.count("*").alias("n_docs"), *[F.sum(failed.cast("long")).alias(f"f_{k}") for k, failed in rules.items()]
     )
-    within = F.col("m") * (1 - F.col("m")) * F.col("per")
-    between = F.greatest(F.col("v") - within, F.lit(1e-6))
-    strength = F.least(F.greatest(F.col("m") * (1 - F.col("m")) / between - 1, F.lit(2.0)), F.lit(1e6))
-    prior = prior.select("m", strength.alias("strength"))
-    rate = (F.col("n_failed") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select(
-        "host", "n_docs", "n_failed", rate.alias("rate"), (rate > BAD_HOST_RATE).alias("host_bad")
+    fitted = hosts.agg(
+        F.avg(1 / F.col("n_docs")).alias("per"),
+        *[(F.sum(f"f_{k}") / F.sum("n_docs")).alias(f"m_{k}") for k in rules],
+        *[F.var_pop(F.col(f"f_{k}") / F.col("n_docs")).alias(f"v_{k}") for k in rules],
     )
+    strengths = []
+    for k in rules:
+        spread = F.col(f"m_{k}") * (1 - F.col(f"m_{k}"))
+        between = F.greatest(F.col(f"v_{k}") - spread * F.col("per"), F.lit(1e-6))
+        strengths.append(F.least(F.greatest(spread / between - 1, F.lit(2.0)), F.lit(1e6)).alias(f"s_{k}"))
+    prior = fitted.select(*[f"m_{k}" for k in rules], *strengths)
+
+    def rate(k: str) -> F.Column:
+        return (F.col(f"f_{k}") + F.col(f"m_{k}") * F.col(f"s_{k}")) / (F.col("n_docs") + F.col(f"s_{k}"))
+
+    def limit(k: str) -> F.Column:
+        sd = F.sqrt(F.col(f"m_{k}") * (1 - F.col(f"m_{k}")) / (F.col(f"s_{k}") + 1))
+        return F.least(F.col(f"m_{k}") + BAD_HOST_SDS * sd, F.lit(BAD_HOST_RATE))
+
+    bad = reduce(or_, [rate(k) > limit(k) for k in rules if k != "any"])
+    return hosts.join(F.broadcast(prior)).select("host", "n_docs", F.col("f_any").alias("n_failed"), rate("any").alias("rate"), bad.alias("host_bad"))
 
 
 def judged(docs: DataFrame, keys: list[str], host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -152,8 +185,7 @@ def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text")
     Counts are made twice, for the hosts' rates and beside the rows themselves, so that no text is written; the host
     table travels to the documents where it is below Spark's broadcast threshold.
     """
-    marked = counted(docs, [host_col], text_col).withColumn("base_failed", base_failed())
-    hosts = cut(host_rates(marked, host_col), "hosts")
+    hosts = cut(host_rates(counted(docs, [host_col], text_col), host_col), "hosts")
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[host_col].alias("host_of"))
     at = docs.columns.index(text_col)
     kept = _counted(held, lambda batch: batch.column(0).flatten()[at]).where(~base_failed())
