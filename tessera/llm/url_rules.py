@@ -77,7 +77,7 @@ def mine(marked: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: fl
         return marked.sparkSession.createDataFrame([], empty)
     least = max(2.0, min_support * n)
     model = FPGrowth(itemsCol="tokens", minSupport=min(1.0, least / n_bad), minConfidence=1.0).fit(bad)
-    sets = model.freqItemsets.where(F.size("items") <= 4).select(F.array_sort("items").alias("tokens"), "freq")
+    sets = model.freqItemsets.select(F.array_sort("items").alias("tokens"), "freq")
     sets = cut(sets.withColumn("rule_id", F.xxhash64("tokens")), "itemsets")
     hits = match(marked.select("tokens").withColumn("page", F.monotonically_increasing_id()), sets, rarity(marked))
     counts = hits.groupBy("rule_id").agg(F.count("*").alias("n_all"))
