@@ -241,17 +241,14 @@ def test_newton(spark):
 
 
 def slow_lines(rows, threshold=line_dedup.THRESHOLD):
-    """Lines kept of each document, by all pairs."""
-    seen, sets, places = {}, [], []
+    """Lines that go of each document, by all pairs."""
+    seen, sets, places, k = {}, [], [], line_dedup.SHINGLE
     for doc, text, _ in sorted({r[0]: r for r in rows}.values()):
-        for pos, line in enumerate((text or "").split("\n") if text is not None else []):
-            norm = line.strip(" ").lower()
-            if len(norm) >= line_dedup.MIN_CHARS:
+        for pos, line in enumerate(text.split("\n") if text is not None else []):
+            norm = line.lower().strip(line_dedup.BLANK)
+            if norm:
                 if norm not in seen:
-                    k = line_dedup.SHINGLE
-                    every = [norm[i : i + k] for i in range(len(norm) - k + 1)]
-                    own = [s for i, s in enumerate(every) if s[0] != " " and (i == 0 or norm[i - 1] == " ")]
-                    sets.append(set((own if len(own) * line_dedup.CHARS_PER_ANCHOR >= len(norm) else every) or [norm]))
+                    sets.append({norm[i : i + k] for i in range(max(1, len(norm) - k + 1))})
                     seen[norm] = len(seen)
                 places.append((doc, pos, seen[norm]))
     links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold]
