@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.graph_components import connected_components
+from tessera.llm.near_text import keep_heads
 from tessera.storage import cut, drop, release
 
 MAX_BITS = 4
@@ -65,15 +66,15 @@ def simhash(text: bytes | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, body, fp): the text's hash, and its fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(x.as_py(), width) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((simhash(x.as_py(), width) for x in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "body", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, "doc_id long, body long, fp long")
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -205,7 +206,7 @@ def midpoint_edges(fps: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = MAX_BITS, hot_cell: int = HOT_CELL) -> DataFrame:
-    """(doc_id, fp, component_id, n_copies): component_id is the smallest doc_id reachable over links."""
+    """(doc_id, body, fp, component_id, root, n_copies): component_id is the smallest doc_id reachable over links."""
     spark = docs.sparkSession
     marked = cut(fingerprints(docs, id_col, text_col, width), "simhash-fp")
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "simhash-nodes")
@@ -215,22 +216,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     rooted = cut(rooted, "simhash-rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = cut(rooted.join(least, "root").select("fp", "n_copies", "component_id"), "simhash-classes")
+    classes = cut(rooted.join(least, "root").select("fp", "n_copies", "component_id", "root"), "simhash-classes")
     drop(nodes, rooted)
     release(spark)
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "n_copies")
+    return marked.join(classes, "fp").select("doc_id", "body", "fp", "component_id", "root", "n_copies")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but one document of each near-duplicate group; columns as given.
-
-    A group's document is the one with the smallest doc_id. Rows without doc_id are kept; of rows that repeat a
-    doc_id, one is kept.
-    """
-    found = components(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    named = docs.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).select(docs.columns).union(named)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without all but one document of each near-duplicate group, chosen as near_text.keep_one does; columns as given."""
+    found = cut(components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **how), "simhash-found")
+    return keep_heads(docs, found, id_col, text_col)
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

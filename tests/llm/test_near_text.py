@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tessera.llm import near_text
+from tessera.llm import near_text, simhash
 
 
 def slow_set(text):
@@ -48,9 +48,7 @@ def near_copies():
     return list(enumerate([*texts, None, "", " \n", "one two", "One  TWO", "one three", texts[3].upper()]))
 
 
-@pytest.mark.parametrize("common", [2, 10**9])
-def test_near_duplicates(spark, monkeypatch, common):
-    monkeypatch.setattr(near_text, "COMMON", common)
+def test_near_duplicates(spark):
     rows = near_copies()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows] + [(None, "one two", 1), (*rows[0], 1)], "doc_id long, text string, n int").repartition(3)
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
@@ -59,3 +57,13 @@ def test_near_duplicates(spark, monkeypatch, common):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(want)
     assert kept.where("doc_id is null").count() == 1 and 40 < len(want) < len(rows)
     assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+@pytest.mark.parametrize("keep_one", [near_text.keep_one, simhash.keep_one])
+def test_repeated_ids(spark, keep_one):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a, 0), (1, b, 0), (2, a, 0), (3, b + " end", 0), (4, a, 0), (4, a, 0), (5, "own text", 0), (5, "own text", 0), (None, a, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, body int").repartition(3)
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, a), (1, b), (5, "own text"), (None, a)]))
