@@ -15,6 +15,7 @@ Repeated rows and ids are separate documents. Extra columns are ignored; an empt
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,10 @@ SHARD_DOCS = 1024
 END_ID = 2
 CACHE = 300_000
 K1, B = 1.2, 0.75
+#: Ids in so many documents of a shard have their weights as a row over all documents, others as a list of postings.
+DENSE = 32
+#: Candidates that are put in order first; all others only if these don't fill the window.
+FIRST = 64
 
 
 def vocabulary_path() -> str:
@@ -81,8 +86,9 @@ class ChunkTokenizer:
         self.chunks = _Cache(self._chunk, cache)
 
     def _piece(self, piece: str) -> bytes:
-        text = piece if piece.isascii() and piece.isprintable() else "".join(BYTE_CHARS[b] for b in piece.encode())
-        return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+        text = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii():  # most are a word, or a word and a mark
@@ -108,11 +114,11 @@ class ChunkTokenizer:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-def _byte_chars() -> list[str]:
+def _byte_chars() -> dict[int, str]:
     """The character that stands for each byte: printable ones for themselves, others from 256 on in order."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = iter(range(0x100, 0x200))
-    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+    return {b: chr(b) if b in own else chr(next(others)) for b in range(256)}
 
 
 BYTE_CHARS = _byte_chars()
@@ -173,13 +179,33 @@ class Index:
         norm = K1 * (1 - B + B * length / length.mean())
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
         self.n = n
+        common = np.flatnonzero(df >= DENSE)
+        self.row = np.full(len(self.vocab), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n))
+        held = np.repeat(self.row, df)
+        self.rows[held[held >= 0], self.doc[held >= 0]] = self.weight[held >= 0]
 
     def scores(self, i: int) -> np.ndarray:
         """BM25 of all documents for document i's distinct ids."""
         k = np.searchsorted(self.vocab, self.terms[i])
+        row = self.row[k]
+        found = self.rows[row[row >= 0]].sum(axis=0)
+        k = k[row < 0]
         spans = self.to[k] - self.at[k]
         flat = np.repeat(self.at[k] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
-        return np.bincount(self.doc[flat], weights=self.weight[flat], minlength=self.n)
+        return found + np.bincount(self.doc[flat], weights=self.weight[flat], minlength=self.n)
+
+
+def best_first(score: np.ndarray, rest: np.ndarray) -> Iterator[int]:
+    """rest (ascending) by falling score, ties by place; most callers stop early, so the head is put in order first."""
+    s = -score[rest]
+    if len(rest) <= 2 * FIRST:
+        yield from rest[np.argsort(s, kind="stable")].tolist()
+        return
+    limit = np.partition(s, FIRST)[FIRST]
+    for some in (np.flatnonzero(s < limit), np.flatnonzero(s >= limit)):
+        yield from rest[some[np.argsort(s[some], kind="stable")]].tolist()
 
 
 def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -209,10 +235,9 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
             continue
         rest = np.flatnonzero(open_docs)
         if len(rest):
-            ranked = rest[np.lexsort((rest, -index.scores(seed)[rest]))]
-            for i in ranked:
+            for i in best_first(index.scores(seed), rest):
                 n = int(min(length[i] - start[i], window - offset))
-                pieces.append((int(i), int(start[i]), n, sequence, offset))
+                pieces.append((i, int(start[i]), n, sequence, offset))
                 start[i] += n
                 offset += n
                 if start[i] == length[i]:
