@@ -25,6 +25,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import zstandard
 from pyspark import SparkFiles, TaskContext
@@ -39,7 +40,7 @@ COUNTED = 1 << 18  # words whose counts every task holds
 UNK, END = 0, 1
 DISCOUNT = 0.75
 MIN_COUNT = 2
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 18
 SHARD_TOKENS = 1 << 21
 
 
@@ -98,7 +99,7 @@ class Chunk:
 def chunks(batches: Iterator[pa.RecordBatch], text_at: int, ranks: dict[bytes, int]) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
     """Slices of batches with their chunk; a slice ends after CHUNK_TOKENS words, roughly."""
     for batch in batches:
-        sizes = np.array([len(x) if x is not None else 0 for x in batch.column(text_at).to_pylist()], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(sizes) // (6 * CHUNK_TOKENS)
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
