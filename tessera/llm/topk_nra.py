@@ -6,12 +6,14 @@ a row's upper bound takes, for every component not yet read, the value the list
 list's other end. A query stops reading once no row that isn't resolved could reach its k-th lower bound; rows that tie
 with it stay. Rows whose upper bound reaches the k-th lower bound are then resolved to final scores.
 
-Components become floor(64 * x), so all sums are integers and exact in float64. Shards have a fixed number of rows and
+Components become floor(64 * x) as long; bounds are summed in float64 with room for its rounding, final scores in 64-bit
+integers (scores beyond these aren't representable in the result). Shards have a fixed number of rows and
 query blocks a fixed number of queries; every pair of block and shard is one task's group, and each returns k rows a
 query, which are merged by one ranked aggregation. Shards are dealt by hash of the id, so equal vectors spread.
 
-Rows without id, null vectors and vectors with null or non-finite components take no part; vectors of another length
-than the most common one don't either. Ties go to the smaller id. Rows that repeat an id are separate candidates.
+Rows without id, null vectors and vectors with null or non-finite components take no part; empty
+vectors don't either. Vectors of different lengths have no product, so each length is searched for itself. Ties go to
+the smaller id. Rows that repeat an id are separate candidates, but the id asks once, with the least of its vectors.
 Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -60,6 +62,7 @@ def nra(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, floor: n
             upper[j, own[q]] = lower[j, own[q]] = -np.inf
         if n > k:
             bound = np.maximum(floor[active], np.partition(lower, n - k, axis=1)[:, n - k])
+            bound = bound - 1e-9 * np.abs(bound)  # the bounds are rounded, the scores aren't
         else:
             bound = np.full(len(active), -np.inf)
         able = (upper >= bound[:, None]) & (upper > -np.inf)
@@ -67,7 +70,7 @@ def nra(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, floor: n
         settle = np.ones(len(active), bool) if depth == DEPTHS[-1] else few
         for j in np.flatnonzero(settle):
             rest = np.flatnonzero(able[j])
-            out[active[j]] = (rest, (x[rest] @ queries[active[j]].astype(np.float64)).astype(np.int64))
+            out[active[j]] = (rest, rows[rest].astype(np.int64) @ queries[active[j]].astype(np.int64))
         active = active[~settle]
         if not len(active):
             break
@@ -82,20 +85,21 @@ def top_k(table: DataFrame, id_col: str, vector_col: str, is_query: F.Column, k:
     held = table.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v__"), is_query.alias("q__")
     ).where("id is not null and v__ is not null").where(finite)
-    held = cut(held.select("id", "q__", F.size("v__").alias("d"), F.transform("v__", lambda e: F.floor(scale * e).cast("int")).alias("v")), "vectors")
-    stats = held.groupBy("d").agg(F.count("*").alias("n"), F.sum(F.col("q__").cast("long")).alias("q")).orderBy(F.desc("n"), "d").first()
+    held = cut(held.select("id", "q__", F.size("v__").alias("d"), F.transform("v__", lambda e: F.floor(scale * e).cast("long")).alias("v")), "vectors")
+    held = held.where("d > 0")
+    stats = held.agg(F.count("*").alias("n"), F.sum(F.col("q__").cast("long")).alias("q")).first()
     schema = "query_id long, vec_id long, score long"
-    if stats is None or not stats["q"] or not stats["d"]:
+    if not stats["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     shards, blocks = -(-stats["n"] // SHARD_ROWS), -(-stats["q"] // BLOCK_QUERIES)
-    held = held.where(F.col("d") == stats["d"])
     rows = held.select(
         F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("s"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.lit(False).alias("q"), "id", "v",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.lit(False).alias("q"), "id", "d", "v",
     )
-    asked = held.where("q__").select(
+    # an id that stands in several rows asks once, with the least of its vectors
+    asked = held.where("q__").groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v")).select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"),
-        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).alias("b"), F.lit(True).alias("q"), "id", "v",
+        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).alias("b"), F.lit(True).alias("q"), "id", "d", "v",
     )
 
     def pair(frame: pd.DataFrame) -> pd.DataFrame:
@@ -113,8 +117,7 @@ def top_k(table: DataFrame, id_col: str, vector_col: str, is_query: F.Column, k:
             "score": np.concatenate([s for _, s in best]),
         })
 
-    found = rows.union(asked).groupBy("s", "b").applyInPandas(pair, schema)
-    # a query that stands in several rows asks once
+    found = rows.union(asked).groupBy("s", "b", "d").applyInPandas(pair, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -194,11 +194,16 @@ def test_top_k(spark, dims, monkeypatch):
     got = defaultdict(list)
     for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    for q in (0, 20, 40, 100, 180):
+    for q in (0, 20, 40, 60, 100, 180):
         every = sorted(((i, int(v @ ints[q])) for i, v in ints.items() if i != q), key=lambda p: (-p[1], p[0]))
         seen = [p for p in got[q]]
         assert [s for _, s in seen] == [s for _, s in sorted(every + ([(60, int(ints[60] @ ints[q]))] if q != 60 else []), key=lambda p: (-p[1], p[0]))[:7]]
     assert topk_nra.top_k(table.where("false"), "vec_id", "embedding", F.lit(True)).count() == 0
+    odd = [(0, [3e7, -3.0]), (0, [3e7, -3.0]), (1, [2e7, 1.0]), (2, [3e7, 5.0]), (3, [1.0, 2.0, 3.0]), (20, [1.0, 1.0, 1.0])]
+    odd = topk_nra.top_k(spark.createDataFrame(odd, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=6)
+    big = 64 * 3 * 10**7
+    want = [(0, 1, 2, big * big - 192 * 320), (0, 2, 1, big * 64 * 2 * 10**7 - 192 * 64), (20, 1, 3, 64 * 64 * 6)]
+    assert sorted(tuple(r) for r in odd.collect()) == want
     few = topk_nra.top_k(table.where("vec_id < 3"), "vec_id", "embedding", F.col("vec_id") == 0, k=7)
     assert few.count() == 2
 
