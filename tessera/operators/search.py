@@ -186,14 +186,15 @@ class Index:
 
     def _phrase(self, node: Node) -> DataFrame:
         """Places where the stems stand in a row: each word's place less its number in the phrase must agree."""
-        words = [w.lower() for w in node.args]
+        stems = [stem(F.lit(w.lower())) for w in node.args]
         found = []
         for name, weight in self.fields(node.field).items():
-            stems = [stem(F.lit(w)) for w in words]
-            hits = self.tokens(name).where(reduce(lambda a, b: a & b, [F.array_contains("t", s) for s in stems]))
-            starts = F.filter(F.sequence(F.lit(1), F.size("t") - len(words) + 1), lambda i: reduce(lambda a, b: a & b, [F.get("t", i - 1 + k) == s for k, s in enumerate(stems)]))
-            hits = hits.where(F.size("t") >= len(words)).where(F.size(starts) > 0).select("doc_id")
-            first = self.bm25(name, lambda t: t == stems[0])  # noqa: B023
+            places = self.postings(name, lambda t: reduce(lambda a, b: a | b, [t == s for s in stems]))
+            numbers = F.array(*[F.when(F.col("term") == s, F.lit(k)) for k, s in enumerate(stems)])
+            starts = places.select("doc_id", "pos", F.explode(numbers).alias("k")).where("k is not null")
+            starts = starts.groupBy("doc_id", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n"))
+            hits = starts.where(F.col("n") == len(stems)).select("doc_id")
+            first = self.bm25(name, lambda t: t == stems[0])
             found.append(first.join(hits, "doc_id", "left_semi").select("doc_id", (F.col("score") * weight * 1.5).alias("score")))
         return self._sum(found)
 
@@ -202,7 +203,7 @@ class Index:
         word, distance = stem(F.lit(node.args[0])), node.args[1]
         away = F.levenshtein(F.col("term"), word)
         return self._sum([
-            self.bm25(f, lambda t: F.levenshtein(t, word) <= distance).select("doc_id", (F.col("score") * w / (1 + away)).alias("score"))
+            self.bm25(f, lambda t: (F.abs(F.length(t) - F.length(word)) <= distance) & (F.levenshtein(t, word, distance) >= 0)).select("doc_id", (F.col("score") * w / (1 + away)).alias("score"))
             for f, w in self.fields(node.field).items()
         ])
 
