@@ -339,10 +339,9 @@ def _(spark, sf):
     return textops.assemble(s, 400)
 
 
-@query("guardrail_run", "SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN 'length' ELSE 'pass' END AS stage FROM documents WHERE doc_id < 1000000 AND NOT regexp_matches(text, '(?i)(ignore|act as|pretend|reveal|disregard|forget|override|jailbroken|DAN|\\[/?(SYSTEM|USER|INST))')")
+@query("guardrail_run")  # SQL has no injection score; tests/test_guardrail.py has the stages' order
 def _(spark, sf):
-    d = load(spark, sf, "documents").where(~F.col("text").rlike(r"(?i)(ignore|act as|pretend|reveal|disregard|forget|override|jailbroken|DAN|\[/?(SYSTEM|USER|INST))"))
-    return d.select("doc_id", textops.guardrail(F.col("text"), 0.9, 4000, "zzzzzz").alias("stage"))
+    return load(spark, sf, "documents").select("doc_id", textops.guardrail(F.col("text"), 0.9, 4000, "zzzzzz").alias("stage"))
 
 
 @query("retrieval_tokens", r"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: strlen(w) >= 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in words.STOPWORDS) + "))) AS n FROM documents")
@@ -547,10 +546,10 @@ def _(spark, sf):
     return load(spark, sf, "events").where("ts <= timestamp_ntz'2024-01-05 00:00:00'").orderBy("ts", "event_id").limit(25).select("event_id")
 
 
-@query("fewshot_tags", "SELECT p_partkey FROM part WHERE list_has_all(string_split(p_type, ' '), ['STEEL']) AND p_size <= 10")
+@query("fewshot_tags", "SELECT p_partkey FROM part WHERE list_has_all(string_split(p_type, ' '), ['PROMO']) AND p_size <= 10")
 def _(spark, sf):
     tags = F.split("p_type", " ")
-    return load(spark, sf, "part").where((F.size(F.array_except(F.array(F.lit("STEEL")), tags)) == 0) & (F.col("p_size") <= 10)).select("p_partkey")
+    return load(spark, sf, "part").where((F.size(F.array_except(F.array(F.lit("PROMO")), tags)) == 0) & (F.col("p_size") <= 10)).select("p_partkey")
 
 
 @query("hedge_winners", "SELECT user_id AS call, min_by(event_type, (ts, event_id)) AS provider FROM events GROUP BY 1")

@@ -114,9 +114,9 @@ def _(spark, sf):
     return keyspace.delete(kv(spark, sf), gone).agg(F.count("*").alias("n"))
 
 
-@query("delex", f"WITH {KV} SELECT key, CASE WHEN value LIKE '1%' THEN 1 ELSE 0 END AS status FROM kv WHERE o_orderkey <= 50")
+@query("delex", f"WITH {KV} SELECT key, CASE WHEN value LIKE '1%' THEN 1 ELSE 0 END AS status FROM kv")
 def _(spark, sf):
-    return kv(spark, sf).where("o_orderkey <= 50").select("key", F.when(F.col("value").startswith("1"), 1).otherwise(0).alias("status"))
+    return kv(spark, sf).select("key", F.when(F.col("value").startswith("1"), 1).otherwise(0).alias("status"))
 
 
 @query("ttl_live", f"WITH {KV} SELECT key, CASE WHEN expire_ms IS NULL THEN -1 ELSE expire_ms - {NOW_MS} END AS pttl FROM kv WHERE expire_ms IS NULL OR expire_ms > {NOW_MS}")
@@ -131,19 +131,19 @@ def _(spark, sf):
     return keyspace.persist(keyspace.expire(kv(spark, sf), k == 0, F.lit(NOW_MS)), k == 1).select("key", "expire_ms")
 
 
-@query("rename", f"WITH {KV} SELECT CASE WHEN key = 'order:1' THEN 'order:2' ELSE key END AS key, value FROM kv WHERE key <> 'order:2' AND o_orderkey <= 100")
+@query("rename", f"WITH {KV} SELECT CASE WHEN key = 'order:1' THEN 'order:2' ELSE key END AS key, value FROM kv WHERE key <> 'order:2'")
 def _(spark, sf):
-    return keyspace.rename(kv(spark, sf), "order:1", "order:2").where("o_orderkey <= 100").select("key", "value")
+    return keyspace.rename(kv(spark, sf), "order:1", "order:2").select("key", "value")
 
 
-@query("renamenx", f"WITH {KV} SELECT key, count(*) AS n FROM kv WHERE o_orderkey <= 100 GROUP BY 1")
+@query("renamenx", f"WITH {KV} SELECT key, count(*) AS n FROM kv GROUP BY 1")
 def _(spark, sf):
-    return keyspace.rename(kv(spark, sf), "order:1", "order:2", only_new=True).where("o_orderkey <= 100").groupBy("key").agg(F.count("*").alias("n"))
+    return keyspace.rename(kv(spark, sf), "order:1", "order:2", only_new=True).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("copy_key", f"WITH {KV} SELECT key, value FROM kv WHERE o_orderkey <= 20 UNION ALL SELECT 'twin', value FROM kv WHERE key = 'order:1'")
+@query("copy_key", f"WITH {KV} SELECT key, value FROM kv UNION ALL SELECT 'twin', value FROM kv WHERE key = 'order:1'")
 def _(spark, sf):
-    return keyspace.copy(kv(spark, sf), "order:1", "twin").where("o_orderkey <= 20").select("key", "value")
+    return keyspace.copy(kv(spark, sf), "order:1", "twin").select("key", "value")
 
 
 @query("log_replay", "SELECT o_custkey AS key, max_by(o_orderstatus, o_orderkey) AS value FROM orders GROUP BY 1 HAVING max_by(o_orderstatus, o_orderkey) <> 'P'")
@@ -406,9 +406,10 @@ def _(spark, sf):
     return sets.sunion(flag_parts(spark, sf), ["A", "R"])
 
 
-@query("s_diff", f"WITH {S} SELECT member FROM s WHERE key = 'N' EXCEPT SELECT member FROM s WHERE key IN ('A', 'R')")
+@query("s_diff", "SELECT o_custkey AS member FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def _(spark, sf):
-    return sets.sdiff(flag_parts(spark, sf), "N", ["A", "R"])
+    buyers = load(spark, sf, "orders").select(F.col("o_orderstatus").alias("key"), F.col("o_custkey").alias("member")).distinct()
+    return sets.sdiff(buyers, "F", ["P"])
 
 
 @query("s_intercard", f"WITH {S} SELECT least(count(*), 50) AS n FROM (SELECT member FROM s WHERE key = 'A' INTERSECT SELECT member FROM s WHERE key = 'R')")

@@ -154,10 +154,9 @@ def _(spark, sf):
     return geo.search(p, c["lat"], c["lon"], 2000, "km").where("member <> 7").select("member")
 
 
-@query("geo_pairs_within", f"WITH {P} SELECT a.member AS a, b.member AS b FROM p a, p b WHERE a.member % 7 = 0 AND b.member % 5 = 0 AND {HAV('a.lat', 'a.lon', 'b.lat', 'b.lon', geo.RADIUS)} <= 300000")
+@query("geo_pairs_within", f"WITH {P} SELECT a.member AS a, b.member AS b FROM p a, p b WHERE {HAV('a.lat', 'a.lon', 'b.lat', 'b.lon', geo.RADIUS)} <= 300000")
 def _(spark, sf):
-    p = points(spark, sf)
-    return geo.pairs_within(p.where("member % 7 = 0"), p.where("member % 5 = 0"), 300_000).select("a", "b")
+    return geo.pairs_within(points(spark, sf), points(spark, sf), 300_000).select("a", "b")
 
 
 @query("geo_hash", f"WITH {P} SELECT count(*) AS n FROM p")
