@@ -86,3 +86,8 @@ def geohash(lat: Column, lon: Column, size: int = 11) -> Column:
             digit = digit * 2 + F.shiftright(source, left).bitwiseAND(1)
         text.append(F.substring(F.lit(ALPHABET), digit.cast("int") + 1, 1))
     return F.concat(*text)
+
+
+def search_store(points: DataFrame, target: str, lat: float, lon: float, distance: float, unit: str = "m", count: int | None = None) -> DataFrame:
+    """search() as a ranked set (key, member, score) whose scores are the distances."""
+    return search(points, lat, lon, distance, unit, count).select(F.lit(target).alias("key"), "member", F.col("dist").alias("score"))

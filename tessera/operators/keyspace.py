@@ -6,7 +6,7 @@ A keyspace is a DataFrame with key, a value column and, where keys can expire, e
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.num import go_float
@@ -166,3 +166,48 @@ def slot_stats(space: DataFrame, limit: int) -> DataFrame:
     return counted.orderBy(F.desc("keys"), "slot").limit(limit)
 
 
+def put(space: DataFrame, writes: DataFrame, only_new: bool = False, only_known: bool = False, keep_expiry: bool = False) -> DataFrame:
+    """space (key, value, expire_ms) after writes of the same columns, one a key; keep_expiry leaves the old moment."""
+    old = space.select("key", F.col("value").alias("old__"), F.col("expire_ms").alias("was__"), F.lit(True).alias("known__"))
+    both = old.join(writes.select("key", "value", "expire_ms", F.lit(True).alias("new__")), "key", "full_outer")
+    known, new = F.col("known__").isNotNull(), F.col("new__").isNotNull()
+    wins = new & ~known if only_new else new & known if only_known else new
+    expire = F.when(known, F.col("was__")).otherwise(F.col("expire_ms")) if keep_expiry else F.col("expire_ms")
+    return both.where(known | wins).select(
+        "key", F.when(wins, F.col("value")).otherwise(F.col("old__")).alias("value"), F.when(wins, expire).otherwise(F.col("was__")).alias("expire_ms")
+    )
+
+
+def put_all_or_none(space: DataFrame, writes: DataFrame) -> DataFrame:
+    """space after writes, none of which count if one of their keys exists."""
+    taken = writes.join(space.select("key"), "key", "left_semi").agg((F.count("*") > 0).alias("taken__"))
+    able = writes.join(F.broadcast(taken)).where("not taken__").select(writes.columns)
+    return space.select("key", "value", "expire_ms").unionByName(able.select("key", "value", "expire_ms"))
+
+
+def get_and_put(space: DataFrame, writes: DataFrame) -> DataFrame:
+    """writes' keys with the value that each replaces, null where there was none."""
+    return writes.select("key").join(space.select("key", "value"), "key", "left")
+
+
+def get_and_delete(space: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The wanted keys' values, and space without them."""
+    return get_and_put(space, wanted), delete(space, wanted)
+
+
+def move(space: DataFrame, which: Column, target: int) -> DataFrame:
+    """space (db, key, …) with the rows that which picks in another database, unless it has the key already."""
+    there = space.where(F.col("db") == target).select("key", F.lit(True).alias("there__"))
+    goes = which & (F.col("db") != target) & F.col("there__").isNull()
+    return space.join(there, "key", "left").withColumn("db", F.when(goes, F.lit(target)).otherwise(F.col("db"))).select(space.columns)
+
+
+def swap_databases(space: DataFrame, a: int, b: int) -> DataFrame:
+    return space.withColumn("db", F.when(F.col("db") == a, b).when(F.col("db") == b, a).otherwise(F.col("db")))
+
+
+def scan_elements(table: DataFrame, element: str, cursor: int = 0, count: int = 10, pattern: str | None = None) -> DataFrame:
+    """One page of every key's fields or members in their order; the pattern applies inside the page."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy(element))
+    page = table.withColumn("i__", place).where(F.col("i__").between(cursor + 1, cursor + count)).drop("i__")
+    return page.where(F.col(element).rlike(glob_regex(pattern))) if pattern else page

@@ -62,3 +62,8 @@ def rotate(a: Column, source_left: bool = False, target_left: bool = True) -> Co
     n = F.size(a)
     moved = F.concat(F.slice(a, n, 1), F.slice(a, 1, n - 1)) if target_left else F.concat(F.slice(a, 2, n), F.slice(a, 1, 1))
     return F.when(n > 1, moved).otherwise(a)
+
+
+def pushx(v: Column, x: Column, left: bool = False) -> Column:
+    """One more element, if the list exists and isn't empty."""
+    return F.when(F.size(v) > 0, F.concat(F.array(x), v) if left else F.concat(v, F.array(x))).otherwise(v)

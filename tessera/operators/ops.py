@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.num import percentile_at
 
 
 def rate_limit(calls: DataFrame, period_ms: int, most: int) -> DataFrame:
@@ -227,27 +226,13 @@ def memo(lookups: DataFrame, cache: DataFrame, keys: list[str], now: Column) ->
     return lookups.join(fresh, keys, "left").withColumn("hit", F.col("value").isNotNull())
 
 
-def tool_key(tool: str, args: str) -> str:
-    """A call's key: top-level commas part the arguments, which are sorted as they stand."""
-    parts, depth, quote, at = [], 0, "", 0
-    body = args.strip()
-    body = body[1:-1] if body[:1] == "{" and body[-1:] == "}" else body
-    for i, ch in enumerate(body):
-        if quote:
-            quote = "" if ch == quote and body[i - 1] != "\\" else quote
-        elif ch == '"':
-            quote = ch
-        elif ch in "[{(":
-            depth += 1
-        elif ch in "]})":
-            depth -= 1
-        elif ch == "," and not depth:
-            parts.append(body[at:i])
-            at = i + 1
-    return f"{tool}|" + ",".join(sorted([*parts, body[at:]]))
+def tool_key(tool: Column, args: Column) -> Column:
+    """A call's key: the tool, and the members of its JSON arguments by name, nested values as they stand."""
+    members = F.array_sort(F.map_entries(F.from_json(args, "map<string,string>")))
+    return F.concat_ws("|", tool, F.array_join(F.transform(members, lambda m: F.concat(m["key"], F.lit("="), F.coalesce(m["value"], F.lit("null")))), ","))
 
 
 def slo(samples: DataFrame, by: str, p: float, most: float) -> DataFrame:
-    """Whether each key's percentile keeps its target; for keys whose samples fit an array."""
-    found = samples.groupBy(by).agg(percentile_at(F.collect_list("value"), p).alias("value"))
+    """Whether each key's percentile keeps its target."""
+    found = percentiles(samples, by, [p]).withColumnRenamed(f"p{round(p * 100)}", "value")
     return found.withColumn("ok", F.col("value") <= most)

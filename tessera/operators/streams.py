@@ -63,3 +63,13 @@ def project(log: DataFrame, reducer: str, field: str | None = None, group: str |
         "latest": lambda: F.max_by(number, "seq"),
     }[reducer]()
     return log.groupBy("stream", grp.alias("grp")).agg(value.alias("value"))
+
+
+def xdel(log: DataFrame, gone: DataFrame) -> DataFrame:
+    """log without the entries of gone (stream, ms, seq)."""
+    return log.join(gone.select("stream", *ID).distinct(), ["stream", *ID], "left_anti")
+
+
+def xtrim_before(log: DataFrame, ms: int, seq: int = 0) -> DataFrame:
+    """Entries from an id on, in every stream."""
+    return log.where((F.col("ms") > ms) | ((F.col("ms") == ms) & (F.col("seq") >= seq)))

@@ -103,3 +103,35 @@ def zdiff(zset: DataFrame, first, rest: list) -> DataFrame:
 def zintercard(zset: DataFrame, keys: list, limit: int = 0) -> DataFrame:
     n = F.count("*")
     return weighted(zset, {k: 1 for k in keys}, every=True).agg((F.least(n, F.lit(limit)) if limit else n).alias("n"))
+
+
+def zlexcount(zset: DataFrame, low: str, high: str) -> DataFrame:
+    return zrangebylex(zset, low, high).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def zremrangebylex(zset: DataFrame, low: str, high: str) -> DataFrame:
+    return zset.where(~lex_within(F.col("member"), low, high))
+
+
+def zpage(zset: DataFrame, offset: int, count: int, reverse: bool = False, by_lex: bool = False) -> DataFrame:
+    """LIMIT and REV of a score or lexical range: some rows of each key in its order."""
+    order = [F.col("member")] if by_lex else [F.col("score"), F.col("member")]
+    place = F.row_number().over(Window.partitionBy("key").orderBy(*[c.desc() if reverse else c for c in order]))
+    return zset.withColumn("i__", place).where(F.col("i__").between(offset + 1, offset + count)).drop("i__")
+
+
+def zstore(zset: DataFrame, target: str, found: DataFrame) -> DataFrame:
+    """zset with target as the members and scores of found; the old target goes."""
+    return zset.where(F.col("key") != target).select("key", "member", "score").unionByName(found.select(F.lit(target).alias("key"), "member", "score"))
+
+
+def zadd(zset: DataFrame, writes: DataFrame, only: str | None = None) -> DataFrame:
+    """zset after writes (key, member, score), one a member; only: nx, xx, gt or lt."""
+    old = zset.select("key", "member", F.col("score").alias("was__"))
+    both = old.join(writes.select("key", "member", "score"), ["key", "member"], "full_outer")
+    known, new = F.col("was__").isNotNull(), F.col("score").isNotNull()
+    wins = {
+        None: new, "nx": new & ~known, "xx": new & known,
+        "gt": new & (~known | (F.col("score") > F.col("was__"))), "lt": new & (~known | (F.col("score") < F.col("was__"))),
+    }[only]
+    return both.where(known | wins).select("key", "member", F.when(wins, F.col("score")).otherwise(F.col("was__")).alias("score"))

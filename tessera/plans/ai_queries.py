@@ -555,3 +555,24 @@ def _(spark, sf):
 @query("hedge_winners", "SELECT user_id AS call, min_by(event_type, (ts, event_id)) AS provider FROM events GROUP BY 1")
 def _(spark, sf):
     return load(spark, sf, "events").groupBy(F.col("user_id").alias("call")).agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("provider"))
+
+
+@query("tool_calls", "SELECT 'lookup|customer=' || o_custkey || ',status=' || o_orderstatus AS key, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, sf):
+    one = F.format_string('{"status": "%s", "customer": %d}', "o_orderstatus", "o_custkey")
+    other = F.format_string('{"customer":%d,"status":"%s"}', "o_custkey", "o_orderstatus")
+    calls = load(spark, sf, "orders").select(ops.tool_key(F.lit("lookup"), F.when(F.col("o_orderkey") % 2 == 0, one).otherwise(other)).alias("key"))
+    return calls.groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("slo_met", "WITH r AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1), p AS (SELECT event_type, v[least(floor(len(v) * 0.95)::INT, len(v) - 1) + 1] AS value FROM r) SELECT event_type, value, value <= 150 AS ok FROM p")
+def _(spark, sf):
+    return ops.slo(load(spark, sf, "events"), "event_type", 0.95, 150.0)
+
+
+@query("cite_check", "SELECT o_orderkey AS id, i AS pos, label, label = (o_custkey % 3)::VARCHAR AS valid FROM (SELECT o_orderkey, o_custkey, unnest([0, 1]) AS i, unnest([(o_custkey % 3)::VARCHAR, (o_orderkey % 4)::VARCHAR]) AS label FROM orders)")
+def _(spark, sf):
+    o = load(spark, sf, "orders")
+    answers = o.select(F.col("o_orderkey").alias("id"), F.format_string("as [%d] and [%d] say", F.col("o_custkey") % 3, F.col("o_orderkey") % 4).alias("text"))
+    sources = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 3).cast("string").alias("label"))
+    return textops.citation_check(answers, sources).select("id", "pos", "label", "valid")

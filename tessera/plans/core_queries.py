@@ -544,3 +544,111 @@ def _(spark, sf):
 def _(spark, sf):
     z = segments(spark, sf)
     return z.orderBy(F.xxhash64("member", F.lit(1)), "member").limit(6).agg(F.count("*").cast("int").alias("n"))
+
+
+# Conditional writes, databases, pages of elements
+def writes(spark, sf):
+    """Every third order's key and as many new ones, with its clerk as the value and no expiry."""
+    o = load(spark, sf, "orders").where("o_orderkey % 3 = 0")
+    old = o.select(F.concat(F.lit("order:"), "o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"))
+    new = o.select(F.concat(F.lit("extra:"), "o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"))
+    return old.union(new).withColumn("expire_ms", F.lit(None).cast("long"))
+
+
+W = "w AS (SELECT p || o_orderkey AS key, o_orderstatus AS value FROM orders, (SELECT unnest(['order:', 'extra:']) AS p) WHERE o_orderkey % 3 = 0)"
+BOTH = f"WITH {KV}, {W}, b AS (SELECT coalesce(kv.key, w.key) AS key, kv.value AS old, w.value AS new, kv.expire_ms AS was, kv.key IS NOT NULL AS known, w.key IS NOT NULL AS given FROM kv FULL JOIN w USING (key))"
+
+
+@query("set_nx", f"{BOTH} SELECT key, coalesce(old, new) AS value, was AS expire_ms FROM b")
+def _(spark, sf):
+    return keyspace.put(kv(spark, sf), writes(spark, sf), only_new=True)
+
+
+@query("set_xx", f"{BOTH} SELECT key, coalesce(new, old) AS value, CASE WHEN NOT given THEN was END AS expire_ms FROM b WHERE known")
+def _(spark, sf):
+    return keyspace.put(kv(spark, sf), writes(spark, sf), only_known=True)
+
+
+@query("set_keepttl", f"{BOTH} SELECT key, coalesce(new, old) AS value, was AS expire_ms FROM b")
+def _(spark, sf):
+    return keyspace.put(kv(spark, sf), writes(spark, sf), keep_expiry=True)
+
+
+@query("msetnx", f"WITH {KV}, {W} SELECT key, value FROM kv UNION ALL SELECT key, value FROM w WHERE key LIKE 'extra:%'")
+def _(spark, sf):
+    space = kv(spark, sf)
+    refused = keyspace.put_all_or_none(space, writes(spark, sf))
+    return keyspace.put_all_or_none(refused, writes(spark, sf).where(F.col("key").startswith("extra:"))).select("key", "value")
+
+
+@query("getset", f"WITH {KV}, {W} SELECT w.key, kv.value FROM w LEFT JOIN kv USING (key)")
+def _(spark, sf):
+    return keyspace.get_and_put(kv(spark, sf), writes(spark, sf))
+
+
+@query("getdel", f"WITH {KV}, {W} SELECT key, value FROM kv WHERE key NOT IN (SELECT key FROM w)")
+def _(spark, sf):
+    return keyspace.get_and_delete(kv(spark, sf), writes(spark, sf).select("key"))[1].select("key", "value")
+
+
+@query("touch", f"WITH {KV}, {W} SELECT count(*) AS n FROM w WHERE key IN (SELECT key FROM kv)")
+def _(spark, sf):
+    return keyspace.exists(kv(spark, sf), writes(spark, sf))
+
+
+@query("move_db", f"WITH {KV}, d AS (SELECT o_orderkey % 2 AS db, CASE WHEN o_orderkey % 4 < 2 THEN key ELSE 'twin:' || (o_orderkey // 4) END AS key FROM kv) SELECT CASE WHEN db = 0 AND key NOT IN (SELECT key FROM d WHERE db = 1) THEN 1 ELSE db END AS db, key FROM d")
+def _(spark, sf):
+    twin = F.concat(F.lit("twin:"), F.floor(F.col("o_orderkey") / 4))
+    space = kv(spark, sf).select((F.col("o_orderkey") % 2).alias("db"), F.when(F.col("o_orderkey") % 4 < 2, F.col("key")).otherwise(twin).alias("key"))
+    return keyspace.move(space, F.col("db") == 0, 1)
+
+
+@query("swap_db", f"WITH {KV} SELECT (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END)::BIGINT AS db, key FROM kv")
+def _(spark, sf):
+    return keyspace.swap_databases(kv(spark, sf).select((F.col("o_orderkey") % 3).alias("db"), "key"), 0, 1)
+
+
+@query("z_scan", f"WITH {Z}, p AS (SELECT key, member, score FROM z QUALIFY row_number() OVER (PARTITION BY key ORDER BY member) BETWEEN 11 AND 60) SELECT * FROM p WHERE member LIKE '%7'")
+def _(spark, sf):
+    return keyspace.scan_elements(segments(spark, sf), "member", 10, 50, "*7")
+
+
+@query("z_lexcount", f"WITH {Z} SELECT key, count(*) AS n FROM z WHERE member > 'Customer#000000010' AND member <= 'Customer#000000500' GROUP BY 1")
+def _(spark, sf):
+    return zsets.zlexcount(segments(spark, sf), "(Customer#000000010", "[Customer#000000500")
+
+
+@query("z_remrangebylex", f"WITH {Z} SELECT * FROM z WHERE member < 'Customer#000000100'")
+def _(spark, sf):
+    return zsets.zremrangebylex(segments(spark, sf), "[Customer#000000100", "+")
+
+
+@query("z_rangebyscore_limit_rev", f"WITH {Z} SELECT * FROM z WHERE score BETWEEN 0 AND 5000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) BETWEEN 4 AND 13")
+def _(spark, sf):
+    return zsets.zpage(zsets.zrangebyscore(segments(spark, sf), "0", "5000"), 3, 10, reverse=True)
+
+
+@query("z_rangestore", f"WITH {Z}, f AS (SELECT 'top' AS key, member, score FROM z WHERE key = 'BUILDING' ORDER BY score DESC, member DESC LIMIT 20) SELECT * FROM z UNION ALL SELECT * FROM f")
+def _(spark, sf):
+    z = segments(spark, sf)
+    return zsets.zstore(z, "top", zsets.zpage(z.where("key = 'BUILDING'"), 0, 20, reverse=True))
+
+
+@query("z_add_gt", f"WITH {Z} SELECT key, member, greatest(score, 5000.0::DOUBLE) AS score FROM z")
+def _(spark, sf):
+    z = segments(spark, sf)
+    return zsets.zadd(z, z.withColumn("score", F.lit(5000.0)), "gt")
+
+
+@query("z_add_nx", f"WITH {Z} SELECT * FROM z UNION ALL SELECT key, 'new ' || member, 1.0 FROM z WHERE score < 0")
+def _(spark, sf):
+    z = segments(spark, sf)
+    low = z.where("score < 0")
+    new = low.select("key", F.concat(F.lit("new "), "member").alias("member"), F.lit(1.0).alias("score"))
+    return zsets.zadd(z, low.withColumn("score", F.lit(9.0)).unionByName(new), "nx")
+
+
+@query("l_pushx", f"WITH {L} SELECT o_custkey, CASE WHEN len(f) > 0 THEN [0] || f ELSE f END AS v FROM (SELECT o_custkey, list_filter(l, lambda x: x % 2 = 0) AS f FROM l)")
+def _(spark, sf):
+    even = F.filter("l", lambda x: x % 2 == 0)
+    return customer_lists(spark, sf).select("o_custkey", lists.pushx(even, F.lit(0).cast("long"), left=True).alias("v"))

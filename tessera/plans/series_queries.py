@@ -311,3 +311,19 @@ def _(spark, sf):
     subs = spark.createDataFrame([("c*", glob_regex("c*")), ("*r*", glob_regex("*r*"))], "pattern string, rx string")
     e = load(spark, sf, "events").groupBy(F.col("event_type").alias("channel")).agg(F.count("*").alias("n"))
     return e.join(F.broadcast(subs), F.expr("channel rlike rx")).select("channel", "pattern", "n")
+
+
+@query("geo_search_store", f"WITH {P}, d AS (SELECT member, {HAV('40.0', '-74.0', 'lat', 'lon', geo.RADIUS)} / 1000 AS dist FROM p) SELECT 'near' AS key, member, round(dist, 3) AS score FROM d WHERE dist <= 3000")
+def _(spark, sf):
+    return geo.search_store(points(spark, sf), "near", 40.0, -74.0, 3000, "km").withColumn("score", F.round("score", 3))
+
+
+@query("x_del", f"WITH {X} SELECT stream, ms, seq FROM x WHERE event_id % 5 <> 0")
+def _(spark, sf):
+    x = log(spark, sf)
+    return streams.xdel(x, x.where("event_id % 5 = 0")).select("stream", "ms", "seq")
+
+
+@query("x_trim_minid", f"WITH {X} SELECT stream, ms, seq FROM x WHERE ms > {START + DAY} OR (ms = {START + DAY} AND seq >= 1)")
+def _(spark, sf):
+    return streams.xtrim_before(log(spark, sf), START + DAY, 1).select("stream", "ms", "seq")
