@@ -7,7 +7,7 @@ those sums, and only cells that are still too large are summed again by longer p
 
 A document larger than the limit has a bucket of its own as soon as a prefix sets it apart; documents whose keys agree
 in all bits (equal ids) can't be split and share a bucket. Both are marked oversized. Null ids are keyed as the empty
-string, null texts have 0 bytes. Extra columns are kept. An empty table gives an empty result.
+string, null texts have 0 bytes. Extra columns are kept, but for those that have a result's name, which give way. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,18 +69,22 @@ def directory(keyed: DataFrame, limit: int = LIMIT, spare_bits: int = SPARE_BITS
         at, depth = done, min(KEY_BITS, done + 12)
 
 
+ADDED = {"shard_depth": "int", "shard_prefix": "long", "shard_bytes": "long", "shard_oversized": "boolean"}
+
+
 def assigned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, spare_bits: int = SPARE_BITS) -> DataFrame:
     """docs with shard_depth, shard_prefix, shard_bytes and shard_oversized.
 
     Each document looks its bucket up at every depth that the directory has; the depths are few, and the directory is
     joined by hash, or broadcast where it is below Spark's threshold.
     """
+    own = [c for c in docs.columns if c.lower() not in ADDED]
     keyed = docs.select(key_of(F.col(id_col)).alias("key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
     buckets = directory(keyed, limit, spare_bits)
     # the directory by depth: bounded by KEY_BITS
     depths = [r[0] for r in buckets.select("depth").distinct().orderBy("depth").collect()]
     if not depths:
-        return docs.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("shard_depth", "int"), ("shard_prefix", "long"), ("shard_bytes", "long"), ("shard_oversized", "boolean"))])
+        return docs.select(*own, *[F.lit(None).cast(t).alias(n) for n, t in ADDED.items()])
     deepest = depths[-1]
     least = F.shiftleft(F.col("prefix").cast("long"), 0)
     low = F.call_function("shiftleft", least, (F.lit(KEY_BITS) - F.col("depth")).cast("int"))
@@ -97,7 +101,7 @@ def assigned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     key = key_of(docs[id_col])
     fits = F.call_function("shiftright", key, (F.lit(KEY_BITS) - slots["depth"]).cast("int")) == slots["prefix"]
     return docs.join(slots, (prefix(key, common) == slots["cell"]) & fits).select(
-        *[docs[c] for c in docs.columns],
+        *[docs[c] for c in own],
         slots["depth"].alias("shard_depth"),
         slots["prefix"].alias("shard_prefix"),
         slots["bytes"].alias("shard_bytes"),

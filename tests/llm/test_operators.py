@@ -111,6 +111,8 @@ def test_sharding(spark, docs, none):
         assert here == r["shard_bytes"] and r["shard_oversized"] == (here > limit)
     assert any(r["shard_oversized"] for r in out)  # the long texts
     assert sharding.assigned(none.select("doc_id", "text")).count() == 0
+    named = sharding.assigned(docs.select("doc_id", "text", F.lit("own").alias("Shard_Depth"), "fp"), limit=limit)
+    assert named.columns == ["doc_id", "text", "fp", *sharding.ADDED] and named.where("shard_depth >= 0").count() == len(texts())
     same = spark.createDataFrame([(1, "x" * 100)] * 5, "doc_id long, text string")
     got = sharding.assigned(same, limit=120).collect()
     assert len(got) == 5 and all(r["shard_oversized"] and r["shard_bytes"] == 500 for r in got)
