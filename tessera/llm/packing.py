@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -270,27 +269,31 @@ def split_last(pieces: list[tuple[int, int, int, int, int]], window: int) -> lis
     return out
 
 
+PIECE = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, path: str | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids (array), ids_crc32, doc_tokens, sequence_id, offset."""
     shards = max(1, -(-docs.count() // SHARD_DOCS))
     # rows that repeat an id are spread by their content's checksum
     dealt = tokenised(docs, id_col, text_col, path).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)))
-    schema = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = [_unpack(x) for x in frame["ids"]]
-        order = sorted(range(len(ids)), key=lambda i: (frame["doc_id"].isna().iat[i], frame["doc_id"].iat[i] if frame["doc_id"].notna().iat[i] else 0, ids[i].tobytes()))
-        ids = [ids[i] for i in order]
-        names = frame["doc_id"].iloc[order].tolist()
-        base = int(frame["shard"].iat[0]) << 32
-        rows = []
-        for i, at, n, sequence, offset in fill(ids, window):
-            piece = ids[i][at : at + n].astype("<u4").tobytes()
-            rows.append((names[i], at, n, piece, zlib.crc32(piece), len(ids[i]), base + sequence, offset))
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return out.astype({"doc_id": "Int64"})
-
-    return dealt.groupBy("shard").applyInPandas(run, schema)
+    schema = ", ".join(f"{k} {'binary' if k == 'ids' else 'long'}" for k in PIECE)
+
+    def run(table: pa.Table) -> pa.Table:
+        raw, names = table.column("ids").to_pylist(), table.column("doc_id").to_pylist()
+        order = sorted(range(len(raw)), key=lambda i: (names[i] is None, names[i] or 0, raw[i]))
+        ids = [_unpack(raw[i]) for i in order]
+        base = table.column("shard")[0].as_py() << 32
+        pieces = fill(ids, window)
+        parts = [ids[i][at : at + n].astype("<u4").tobytes() for i, at, n, _, _ in pieces]
+        columns = [
+            [names[order[p[0]]] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], parts, [zlib.crc32(x) for x in parts],
+            [len(ids[p[0]]) for p in pieces], [base + p[3] for p in pieces], [p[4] for p in pieces],
+        ]
+        kinds = [pa.binary() if k == "ids" else pa.int64() for k in PIECE]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=PIECE)
+
+    return dealt.groupBy("shard").applyInArrow(run, schema)
 
 
 def op10_lexical_packing(spark, sf_dir: str) -> DataFrame:
