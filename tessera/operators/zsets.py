@@ -125,13 +125,13 @@ def zstore(zset: DataFrame, target: str, found: DataFrame) -> DataFrame:
     return zset.where(F.col("key") != target).select("key", "member", "score").unionByName(found.select(F.lit(target).alias("key"), "member", "score"))
 
 
-def zadd(zset: DataFrame, writes: DataFrame, only: str | None = None) -> DataFrame:
+def zadd_only(zset: DataFrame, writes: DataFrame, only: str) -> DataFrame:
     """zset after writes (key, member, score), one a member; only: nx, xx, gt or lt."""
     old = zset.select("key", "member", F.col("score").alias("was__"))
     both = old.join(writes.select("key", "member", "score"), ["key", "member"], "full_outer")
     known, new = F.col("was__").isNotNull(), F.col("score").isNotNull()
     wins = {
-        None: new, "nx": new & ~known, "xx": new & known,
+        "nx": new & ~known, "xx": new & known,
         "gt": new & (~known | (F.col("score") > F.col("was__"))), "lt": new & (~known | (F.col("score") < F.col("was__"))),
     }[only]
     return both.where(known | wins).select("key", "member", F.when(wins, F.col("score")).otherwise(F.col("was__")).alias("score"))

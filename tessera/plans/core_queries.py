@@ -637,7 +637,7 @@ def _(spark, sf):
 @query("z_add_gt", f"WITH {Z} SELECT key, member, greatest(score, 5000.0::DOUBLE) AS score FROM z")
 def _(spark, sf):
     z = segments(spark, sf)
-    return zsets.zadd(z, z.withColumn("score", F.lit(5000.0)), "gt")
+    return zsets.zadd_only(z, z.withColumn("score", F.lit(5000.0)), "gt")
 
 
 @query("z_add_nx", f"WITH {Z} SELECT * FROM z UNION ALL SELECT key, 'new ' || member, 1.0 FROM z WHERE score < 0")
@@ -645,7 +645,7 @@ def _(spark, sf):
     z = segments(spark, sf)
     low = z.where("score < 0")
     new = low.select("key", F.concat(F.lit("new "), "member").alias("member"), F.lit(1.0).alias("score"))
-    return zsets.zadd(z, low.withColumn("score", F.lit(9.0)).unionByName(new), "nx")
+    return zsets.zadd_only(z, low.withColumn("score", F.lit(9.0)).unionByName(new), "nx")
 
 
 @query("l_pushx", f"WITH {L} SELECT o_custkey, CASE WHEN len(f) > 0 THEN [0] || f ELSE f END AS v FROM (SELECT o_custkey, list_filter(l, lambda x: x % 2 = 0) AS f FROM l)")
