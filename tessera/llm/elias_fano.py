@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 16
+WORD = (1 << 32) - 1
 
 
 class EliasFano:
@@ -163,39 +164,39 @@ class Trie:
         self.roots, self.pairs, self.triples = roots, pairs, triples
 
     @classmethod
-    def build(cls, uv: np.ndarray, c_uv: np.ndarray, uvw: np.ndarray, c_uvw: np.ndarray, totals: np.ndarray, discount: float) -> Trie:
-        """uv, uvw: ordered keys of 16 bits a word with their counts; totals: each first word's count as a context.
+    def build(cls, uv: np.ndarray, c_uv: np.ndarray, uvw: np.ndarray, c_uvw: np.ndarray, discount: float) -> Trie:
+        """uv: ordered keys of two words of 32 bits; uvw: ordered, a pair's place in uv and a third word; with counts.
 
-        A context's first word may stand in several tries, so the mass it leaves to the lowest order isn't kept here.
+        A context's first word may stand in several tries, so pairs hold their discounted counts, to be divided by the
+        count of the first word; what it leaves to the lowest order isn't kept here.
         """
-        u = uv >> 16
+        u = uv >> 32
         roots = np.unique(u)
-        parent = np.searchsorted(roots, u)
-        pairs = Level.build(parent, uv & 0xFFFF, len(roots), (c_uv - discount) / totals[u], np.ones(len(roots)))
-        parent3 = np.searchsorted(uv, uvw >> 16)
-        share3 = (c_uvw - discount) / c_uv[parent3]
-        rest3 = 1 - np.bincount(parent3, weights=share3, minlength=len(uv))
-        return cls(EliasFano.encode(roots), pairs, Level.build(parent3, uvw & 0xFFFF, len(uv), share3, rest3))
-
-    def pair(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position of (u, v), -1 where it isn't held, and the discounted share of v after u."""
-        node, share = np.full(len(u), -1), np.zeros(len(u))
+        pairs = Level.build(np.searchsorted(roots, u), uv & WORD, len(roots), c_uv - discount, np.ones(len(roots)))
+        parent = uvw >> 32
+        share = (c_uvw - discount) / c_uv[parent]
+        rest = 1 - np.bincount(parent, weights=share, minlength=len(uv))
+        return cls(EliasFano.encode(roots), pairs, Level.build(parent, uvw & WORD, len(uv), share, rest))
+
+    def pair(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position of (u, v), -1 where it isn't held, its discounted count, and the mass it leaves to lower orders."""
+        node, count, rest = np.full(len(u), -1), np.zeros(len(u)), np.ones(len(u))
         at, value = self.roots.successor(u)
         known = np.flatnonzero(value == u)
         node[known] = self.pairs.find(at[known], v[known])
         hit = np.flatnonzero(node >= 0)
-        share[hit] = self.pairs.book.decode(self.pairs.prob[node[hit]])
-        return node, share
+        count[hit] = self.pairs.book.decode(self.pairs.prob[node[hit]])
+        rest[hit] = self.triples.rest_book.decode(self.triples.rest[node[hit]])
+        return node, count, rest
 
-    def triple(self, node: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted share of w after the pair at node, and the mass that the pair leaves to lower orders."""
-        share, rest = np.zeros(len(node)), np.ones(len(node))
+    def triple(self, node: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Discounted share of w after the pair at node."""
+        share = np.zeros(len(node))
         known = np.flatnonzero(node >= 0)
-        rest[known] = self.triples.rest_book.decode(self.triples.rest[node[known]])
         at = self.triples.find(node[known], w[known])
         hit = at >= 0
         share[known[hit]] = self.triples.book.decode(self.triples.prob[at[hit]])
-        return share, rest
+        return share
 
     def tobytes(self) -> bytes:
         """A header of array lengths, then the arrays, each on a multiple of eight bytes."""

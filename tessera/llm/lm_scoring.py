@@ -1,14 +1,16 @@
 """Language-model scores from a trigram trie in Elias-Fano form.
 
-Counts cover every word of every training document. The model's vocabulary is the VOCABULARY most frequent words, an
-end and one class for all other words; inside the class a word has its add-one share. N-grams of counts two and more are
-kept, with absolute discounting: the share of a word after a context is (count - discount) / count of the context, and
-what a context's words leave is passed to the next lower order at lookup, down to add-one over single words.
-
-Training: documents are counted in chunks; a chunk's distinct n-grams go to shards by a hash of their first two words, as
-sorted arrays; each shard sums, prunes and builds one trie. Tries are written to the shared folder, fetched by every
-executor once, unpacked there and mapped into memory by all its workers. Scoring looks up a chunk's distinct n-grams
-together. Words beyond COUNTED, the words whose counts travel to all tasks, get their counts by a join.
+Every word of the training documents is a word of the model, and every n-gram counts, seen once or often. Absolute
+discounting: the share of a word after a context is (count - discount) / count of the context, and what a context's words
+leave is passed to the next lower order, down to add-one over single words with exact counts. The HEAD most frequent words
+are told by rank; all others by a 31-bit hash in n-grams, so of V such words about V / 2^32 share theirs with another's.
+
+Texts are tokenised once to count words and once into chunks, which are written to the shared folder: token codes and the
+distinct words beyond the head. A chunk's distinct n-grams, with their training counts, go to shards by a hash of their
+first two words. A shard sums the counts, builds one trie, looks all n-grams up in it and answers each chunk; chunks meet
+their answers and the counts of their rare words by joins. So no task holds the model or the vocabulary: a shard's size,
+a chunk's and the head's are constants, and only the head's words and counts are broadcast (HEAD words of HEAD_BYTES at
+most). A trie's levels are flat arrays in one buffer, looked up in place. One text is in one chunk, however long it is.
 
 Nulls are empty texts: one end token. Rows without doc_id are training rows. Repeated rows are scored and counted each
 for itself. Extra columns are ignored. An empty table gives an empty result; without training rows all counts are 0.
@@ -16,38 +18,44 @@ for itself. Extra columns are ignored. An empty table gives an empty result; wit
 
 from __future__ import annotations
 
-import os
-import shutil
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
+import xxhash
 import zstandard
-from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.elias_fano import Trie
-from tessera.storage import cut, release
+from tessera.llm.elias_fano import WORD, Trie
+from tessera.storage import cut, drop, release
 
-VOCABULARY = 65_534  # with two more ids, 16 bits
-COUNTED = 1 << 18  # words whose counts every task holds
-UNK, END = 0, 1
+HEAD = 65_534  # frequent words, whose ids are ranks
+HEAD_BYTES = 64
+END = 0
+TAIL = HEAD + 2  # ids of all other words, from here to 2^31
+TAIL_IDS = (1 << 31) - TAIL
 DISCOUNT = 0.75
-MIN_COUNT = 2
-CHUNK_TOKENS = 1 << 18
-SHARD_TOKENS = 1 << 21
+CHUNK_BYTES = 3 << 20
+SHARD_TOKENS = 1 << 20
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+def tail_id(word: bytes) -> int:
+    """The id of a word beyond the head; word_id() is the same in SQL."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return TAIL + (h - (h >> 63 << 64)) % TAIL_IDS
+
+
+def word_id(word: str) -> F.Column:
+    return F.lit(TAIL) + F.pmod(F.xxhash64(word), F.lit(TAIL_IDS))
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """training (text) to (word, c); each task sums what fits before it is shuffled."""
 
@@ -56,7 +64,7 @@ def word_counts(training: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 counts.update((text.as_py() or b"").lower().split())
-                if len(counts) > 300_000:
+                if len(counts) > 200_000:
                     yield _counts_batch(counts)
                     counts = Counter()
         if counts:
@@ -71,156 +79,213 @@ def _counts_batch(counts: Counter) -> pa.RecordBatch:
     )
 
 
-class Chunk:
-    """Ranks of the words of some whole texts; rank -1 for words that aren't counted everywhere."""
-
-    def __init__(self, texts: list[bytes], ranks: dict[bytes, int]):
-        split = [t.lower().split() for t in texts]
-        self.words = [w for ws in split for w in ws]
-        self.lengths = np.array([len(ws) for ws in split], dtype=np.int64)
-        get = ranks.get
-        self.ranks = np.fromiter((get(w, -1) for w in self.words), dtype=np.int64, count=len(self.words))
-        ends = np.cumsum(self.lengths + 1) - 1
-        self.is_word = np.ones(len(self.words) + len(split), dtype=bool)
-        self.is_word[ends] = False
-        self.ids = np.full(len(self.is_word), END, dtype=np.int64)
-        self.ids[self.is_word] = np.where((self.ranks >= 0) & (self.ranks < VOCABULARY), self.ranks + 2, UNK)
-        self.first = np.concatenate([[0], ends[:-1] + 1]) if len(split) else np.zeros(0, np.int64)
-        self.doc = np.repeat(np.arange(len(split)), self.lengths + 1)
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(u, v) and (u, v, w) of each place, -1 where a text begins between."""
-        ids, doc = self.ids, self.doc
-        uv = np.where(doc[1:] == doc[:-1], ids[:-1] << 16 | ids[1:], -1)
-        uvw = np.where(doc[2:] == doc[:-2], ids[:-2] << 32 | ids[1:-1] << 16 | ids[2:], -1)
-        return uv, uvw
-
-
-def chunks(batches: Iterator[pa.RecordBatch], text_at: int, ranks: dict[bytes, int]) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
-    """Slices of batches with their chunk; a slice ends after CHUNK_TOKENS words, roughly."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(sizes) // (6 * CHUNK_TOKENS)
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if b > a:
-                part = batch.slice(a, b - a)
-                yield part, Chunk([x or b"" for x in part.column(text_at).to_pylist()], ranks)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays with their types, byte planes side by side, compressed."""
+    parts = [len(arrays).to_bytes(1, "little")]
+    for a in arrays:
+        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T
+        parts += [a.dtype.str[1:].encode(), len(a).to_bytes(8, "little"), planes.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(raw: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    at, out = 1, []
+    for _ in range(raw[0]):
+        kind, n = np.dtype("<" + raw[at : at + 2].decode()), int.from_bytes(raw[at + 2 : at + 10], "little")
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 10).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += 10 + n * kind.itemsize
+    return out
+
+
+def steps(ordered: np.ndarray) -> np.ndarray:
+    return np.diff(ordered, prepend=0)
+
+
+FORM = "chunk long, doc_ids array<long>, held array<boolean>, tokens binary, tail array<binary>"
+
+
+def formed(rows: DataFrame, head) -> DataFrame:
+    """rows (doc_id, held_out, text) to chunks of whole texts.
+
+    tokens: words of each text, a code for each token (0 the end, ranks from 1, from TAIL places in tail), tail's ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        ranks, chunk = head.value, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.cumsum(sizes) // CHUNK_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b > a:
+                    yield form(chunk, batch.slice(a, b - a), ranks)
+                    chunk += 1
+
+    def form(chunk: int, part: pa.RecordBatch, ranks: dict[bytes, int]) -> pa.RecordBatch:
+        tail: dict[bytes, int] = {}
+        lengths, codes = np.zeros(part.num_rows, "<i8"), []
+        for i, text in enumerate(part.column(2)):
+            words = (text.as_py() or b"").lower().split()
+            lengths[i] = len(words)
+            found = [ranks.get(w) or tail.setdefault(w, TAIL + len(tail)) for w in words]
+            codes.append(np.array([*found, END], "<i4"))
+        tokens = pack(lengths, np.concatenate(codes), np.fromiter(map(tail_id, tail), "<i4", len(tail)))
+        values = [chunk, part.column(0).to_pylist(), part.column(1).to_pylist(), tokens, list(tail)]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.binary())]
+        names = ["chunk", "doc_ids", "held", "tokens", "tail"]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
+
+    return rows.mapInArrow(run, FORM)
+
+
+class Grams:
+    """Distinct pairs and triples of a chunk, by shard, and which of them stands at each place."""
+
+    def __init__(self, tokens: bytes, shards: int):
+        self.lengths, self.codes, tail_ids = unpack(tokens)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths + 1)
+        ids = self.codes.astype(np.int64)
+        rare = ids >= TAIL
+        ids[rare] = tail_ids[ids[rare] - TAIL]
+        self.places = np.flatnonzero(self.doc[1:] == self.doc[:-1])
+        pairs, at = np.unique(ids[self.places] << 32 | ids[self.places + 1], return_inverse=True)
+        where = shard_of(pairs, shards)
+        order = np.argsort(where, kind="stable")
+        self.pairs = pairs[order]
+        self.edges = np.searchsorted(where[order], np.arange(shards + 1))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.pair_at = rank[at]
+        more = np.flatnonzero(self.codes[self.places + 1] != END)
+        self.places3 = self.places[more]
+        self.triples, self.triple_at = np.unique(self.pair_at[more] << 32 | ids[self.places3 + 2], return_inverse=True)
+        self.edges3 = np.searchsorted(self.triples >> 32, self.edges)
 
 
 def shard_of(uv: np.ndarray, shards: int) -> np.ndarray:
     """Even shards, by Fibonacci hashing of the first two words."""
-    return ((uv.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
+    h = uv.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(33)).astype(np.int64) % shards
 
 
-def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ordered keys as differences, and counts."""
-    raw = len(keys).to_bytes(8, "little") + np.diff(keys, prepend=0).astype("<i8").tobytes() + counts.astype("<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def counted(forms: DataFrame, shards: int) -> DataFrame:
+    """forms to (shard, chunk, grams): each shard's part of a chunk's pairs and triples, with training counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, held, tokens in zip(*(batch.column(i) for i in range(3)), strict=True):
+                g = Grams(tokens.as_py(), shards)
+                learns = ~np.array(held.as_py(), dtype=bool)[g.doc]
+                c2 = np.bincount(g.pair_at, weights=learns[g.places], minlength=len(g.pairs)).astype("<u4")
+                c3 = np.bincount(g.triple_at, weights=learns[g.places3], minlength=len(g.triples)).astype("<u4")
+                found, blobs = [], []
+                for s in np.flatnonzero(np.diff(g.edges)).tolist():
+                    a, b, a3, b3 = g.edges[s], g.edges[s + 1], g.edges3[s], g.edges3[s + 1]
+                    some = g.triples[a3:b3]
+                    found.append(s)
+                    blobs.append(pack(
+                        steps(g.pairs[a:b]), c2[a:b], steps((some >> 32) - a).astype("<u4"), (some & WORD).astype("<u4"), c3[a3:b3]
+                    ))
+                names, columns = ["shard", "chunk", "grams"], [found, [chunk.as_py()] * len(found), blobs]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names
+                )
+
+    return forms.select("chunk", "held", "tokens").mapInArrow(run, "shard long, chunk long, grams binary")
+
+
+ANSWER = "chunk long, shard long, answers binary, u array<long>, followers array<long>"
+
+
+def answered(grams: DataFrame) -> DataFrame:
+    """counted() to the answers for each chunk: pairs' discounted counts, the mass they leave, triples' shares.
+
+    A row without chunk has the shard's contexts of one word, with the number of words that follow each.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_py()) for x in table.column("grams")]
+        sizes, sizes3 = [len(p[0]) for p in parts], [len(p[2]) for p in parts]
+        pairs, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        c2 = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(pairs)).astype(np.int64)
+        starts = np.cumsum([0, *sizes])
+        first = np.concatenate([np.cumsum(p[2], dtype=np.int64) + a for p, a in zip(parts, starts, strict=False)])
+        words = np.concatenate([p[3] for p in parts]).astype(np.int64)
+        triples, at3 = np.unique(at[first] << 32 | words, return_inverse=True)
+        c3 = np.bincount(at3, weights=np.concatenate([p[4] for p in parts]), minlength=len(triples)).astype(np.int64)
+        del parts, first, words
+        seen, seen3 = c2 > 0, c3 > 0
+        place = np.cumsum(seen) - 1
+        learnt = triples[seen3]
+        trie = Trie.build(pairs[seen], c2[seen], place[learnt >> 32] << 32 | learnt & WORD, c3[seen3], DISCOUNT)
+        trie = Trie.frombuffer(np.frombuffer(trie.tobytes(), np.uint8))
+        node, count, rest = trie.pair(pairs >> 32, pairs & WORD)
+        share = trie.triple(node[triples >> 32], triples & WORD)
+        count, rest, share = (x.astype("<f4") for x in (count, rest, share))
+        ends, ends3 = np.cumsum(sizes), np.cumsum(sizes3)
+        answers = []
+        for i, (n, n3) in enumerate(zip(sizes, sizes3, strict=True)):
+            mine, mine3 = at[ends[i] - n : ends[i]], at3[ends3[i] - n3 : ends3[i]]
+            answers.append(pack(count[mine], rest[mine], share[mine3]))
+        u, followers = np.unique(pairs[seen] >> 32, return_counts=True)
+        k, shard = len(answers), table.column("shard")[0].as_py()
+        columns = [
+            [*table.column("chunk").to_pylist(), None], [shard] * (k + 1), [*answers, None], [None] * k + [u], [None] * k + [followers]
+        ]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["chunk", "shard", "answers", "u", "followers"])
+
+    return grams.groupBy("shard").applyInArrow(run, ANSWER)
 
-def unpack_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    n = int.from_bytes(raw[:8], "little")
-    return np.cumsum(np.frombuffer(raw, "<i8", n, 8)), np.frombuffer(raw, "<u4", n, 8 + 8 * n).astype(np.int64)
-
-
-def summed(blobs: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with their counts over all blobs, where those reach least."""
-    parts = [unpack_counts(b) for b in blobs]
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    counts = np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
-    return keys[counts >= least], counts[counts >= least]
-
-
-def build_tries(training: DataFrame, ranks, totals, shards: int) -> DataFrame:
-    """training (text) to (shard, trie, u, mass): a trie's bytes, and the share its pairs take of each first word."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk in chunks(batches, 0, ranks.value):
-            uv, uvw = chunk.keys()
-            rows: dict[int, list[bytes]] = {}
-            for column, (keys, shift) in enumerate(((uv, 0), (uvw, 16))):
-                keys, n = np.unique(keys[keys >= 0], return_counts=True)
-                where = shard_of(keys >> shift, shards)
-                order = np.argsort(where, kind="stable")
-                edges = np.searchsorted(where[order], np.arange(shards + 1))
-                for s in np.unique(where).tolist():
-                    some = order[edges[s] : edges[s + 1]]
-                    rows.setdefault(s, [pack_counts(keys[:0], n[:0])] * 2)[column] = pack_counts(keys[some], n[some])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(rows), pa.int64()), *(pa.array([r[i] for r in rows.values()], pa.binary()) for i in (0, 1))],
-                names=["shard", "pairs", "triples"],
-            )
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        uv, c_uv = summed(frame["pairs"].tolist(), MIN_COUNT)
-        uvw, c_uvw = summed(frame["triples"].tolist(), MIN_COUNT)
-        trie = Trie.build(uv, c_uv, uvw, c_uvw, totals.value, DISCOUNT)
-        u, at = np.unique(uv >> 16, return_inverse=True)
-        mass = np.bincount(at, weights=(c_uv - DISCOUNT) / totals.value[uv >> 16], minlength=len(u))
-        return pd.DataFrame({"shard": [int(frame["shard"].iat[0])], "trie": [trie.tobytes()], "u": [u], "mass": [mass]})
-
-    counted = training.mapInArrow(count, "shard long, pairs binary, triples binary")
-    return counted.groupBy("shard").applyInPandas(build, "shard long, trie binary, u array<long>, mass array<double>")
-
-
-def send_files(table: DataFrame) -> tuple[str, ...]:
-    """Names of a written table's files, which every executor fetches before its next task."""
-    spark = table.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(table._tessera_path)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    paths = [s.getPath() for s in found if s.getPath().getName().endswith(".parquet")]
-    for path in paths:
-        spark.sparkContext.addFile(path.toString())
-    return tuple(sorted(path.getName() for path in paths))
-
-
-@cache
-def mapped_tries(model: str, names: tuple[str, ...]) -> dict[int, Trie]:
-    """The model's tries, mapped from files that the executor's first worker unpacks beside the fetched ones."""
-    target = f"{SparkFiles.getRootDirectory()}/{model}"
-    if not os.path.isdir(target):
-        making = f"{target}.{os.getpid()}"
-        os.makedirs(making, exist_ok=True)
-        for name in names:
-            for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(batch_size=1, columns=["shard", "trie"]):
-                with open(f"{making}/{batch.column(0)[0].as_py()}", "wb") as out:
-                    out.write(batch.column(1)[0].as_buffer())
-        try:
-            os.rename(making, target)
-        except OSError:  # another worker was first
-            shutil.rmtree(making, ignore_errors=True)
-    return {int(n): Trie.frombuffer(np.memmap(f"{target}/{n}", dtype=np.uint8, mode="r")) for n in os.listdir(target)}
-
-
-def log_probabilities(chunk: Chunk, tries: dict[int, Trie], shards: int, p1: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability after the two before it."""
-    ids = chunk.ids
-    p = p1[ids]
-    uv, uvw = chunk.keys()
-    places = np.flatnonzero(uv >= 0)
-    pairs, at = np.unique(uv[places], return_inverse=True)
-    node, share = np.full(len(pairs), -1), np.zeros(len(pairs))
-    where = shard_of(pairs, shards)
-    for s, trie in tries.items():
-        some = np.flatnonzero(where == s)
-        if len(some):
-            node[some], share[some] = trie.pair(pairs[some] >> 16, pairs[some] & 0xFFFF)
-    p[places + 1] = share[at] + left[uv[places] >> 16] * p[places + 1]
-    of = np.full(len(uv), -1)
-    of[places] = at
-    places3 = np.flatnonzero(uvw >= 0)
-    places3 = places3[node[of[places3]] >= 0]
-    wanted, at3 = np.unique(of[places3] << 16 | ids[places3 + 2], return_inverse=True)
-    pair = wanted >> 16
-    share3, rest3 = np.zeros(len(wanted)), np.ones(len(wanted))
-    for s, trie in tries.items():
-        some = np.flatnonzero(where[pair] == s)
-        if len(some):
-            share3[some], rest3[some] = trie.triple(node[pair[some]], wanted[some] & 0xFFFF)
-    p[places3 + 2] = share3[at3] + rest3[at3] * p[places3 + 2]
-    return np.log10(p)
+
+SCORED = [
+    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+    ("base_score", pa.float64()), ("score", pa.float64()),
+]
+
+
+def evaluated(parts: DataFrame, known, shards: int, n: int, v: int, n_docs: int) -> DataFrame:
+    """A chunk's form, answers and facts of rare words to its documents' scores."""
+
+    def run(table: pa.Table) -> pa.Table:
+        form = table.filter(pc.is_valid(table.column("tokens")))
+        g = Grams(form.column("tokens")[0].as_py(), shards)
+        head_c, head_total, head_followers = known.value
+        n_tail = max(int(g.codes.max()) - TAIL + 1, 0)
+        facts = [np.concatenate([x, np.zeros(n_tail)]) for x in (head_c, head_total, head_followers)]
+        tail = table.filter(pc.is_valid(table.column("pos")))
+        pos = tail.column("pos").to_numpy() + TAIL
+        for x, name in zip(facts, ("c", "total", "followers"), strict=True):
+            x[pos] = tail.column(name).to_numpy()
+        c, total, followers = facts
+        got = table.filter(pc.is_valid(table.column("answers"))).sort_by("shard").column("answers")
+        answers = [unpack(x.as_py()) for x in got]
+        count, rest, share = (np.concatenate([a[i] for a in answers] or [np.zeros(0)]).astype(np.float64) for i in range(3))
+        log_single = np.log10(c + 1) - np.log10(n + v + 1)
+        p = 10.0 ** log_single[g.codes]
+        u = g.codes[g.places]
+        after, of = g.places + 1, np.maximum(total[u], 1)
+        seen = total[u] > 0
+        p[after] = np.where(seen, count[g.pair_at] / of, 0) + np.where(seen, DISCOUNT * followers[u] / of, 1) * p[after]
+        p[g.places3 + 2] = share[g.triple_at] + rest[g.triples[g.triple_at] >> 32] * p[g.places3 + 2]
+        size = len(g.lengths)
+        columns = [
+            form.column("doc_ids")[0].values,
+            form.column("held")[0].values,
+            g.lengths + 1,
+            np.bincount(g.doc, weights=c[g.codes] > 0, minlength=size).astype(np.int64),
+            np.bincount(g.doc, weights=log_single[g.codes], minlength=size),
+            np.bincount(g.doc, weights=np.log10(p), minlength=size),
+        ]
+        return pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], schema=pa.schema(SCORED))
+
+    types = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    return parts.groupBy("chunk").applyInArrow(run, types)
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,83 +299,37 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_docs = training.count()
     n, v = facts["n"] + n_docs, facts["v"] + (n_docs > 0)
-    head = counts.orderBy(F.desc("c"), "word").limit(COUNTED).toArrow()
-    words, c = head.column("word").to_pylist(), np.array(head.column("c"), dtype=np.float64)
-    in_model = min(len(words), VOCABULARY)
-    c_unk, v_unk = n - n_docs - c[:in_model].sum(), v - (n_docs > 0) - in_model
-    totals = np.concatenate([[c_unk, n_docs], c[:in_model]])
-    totals = np.pad(totals, (0, VOCABULARY + 2 - len(totals)))
-    ranks = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    shared_totals = spark.sparkContext.broadcast(totals)
+    head = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    words = head.column("word").to_pylist()
+    c = np.zeros(TAIL)
+    c[END], c[1 : len(words) + 1] = n_docs, np.array(head.column("c"))
+    ranks = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
     shards = max(1, -(-n // SHARD_TOKENS))
-    model = cut(build_tries(training, ranks, shared_totals, shards), "lm-tries")
+    forms = cut(formed(rows, ranks), "lm-chunks")
+    answers = cut(answered(counted(forms, shards)), "lm-answers")
     release(spark)
-    taken = model.select(F.explode(F.arrays_zip("u", "mass")).alias("x")).groupBy("x.u").agg(F.sum("x.mass").alias("mass")).toArrow()
-    left = np.ones(VOCABULARY + 2)
-    left[np.array(taken.column(0), dtype=np.int64)] -= np.array(taken.column(1), dtype=np.float64)
-    names = send_files(model)
-    folder = model._tessera_path.rsplit("/", 1)[1]
-    p1 = (totals + 1) / (n + in_model + 2)
-    known = spark.sparkContext.broadcast((c, p1, left))
-    base_of = -np.log10(n + v + 1)
-    tail_of = -np.log10(c_unk + v_unk + 1)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted, single, rest = known.value
-        tries = mapped_tries(folder, names)
-        row = TaskContext.get().partitionId() << 40
-        for part, chunk in chunks(batches, 2, ranks.value):
-            at = chunk.doc[chunk.is_word]
-            size = part.num_rows
-            logs = log_probabilities(chunk, tries, shards, single, rest)
-            model_score = np.bincount(chunk.doc, weights=logs, minlength=size)
-            here = chunk.ranks >= 0
-            log_c = np.log10(counted[chunk.ranks[here]] + 1)
-            base = np.bincount(at[here], weights=log_c, minlength=size) + np.log10(n_docs + 1) + base_of * (chunk.lengths + 1)
-            unk = here & (chunk.ranks >= in_model)
-            model_score += np.bincount(at[unk], weights=np.log10(counted[chunk.ranks[unk]] + 1), minlength=size)
-            out_of_model = np.bincount(at[~here | unk], minlength=size)
-            model_score += tail_of * out_of_model
-            n_known = np.bincount(at[here], minlength=size) + (n_docs > 0)
-            ids = pa.array(row + np.arange(size))
-            none = pa.nulls(size)
-            yield _rows(ids, part.column(0), part.column(1), chunk.lengths + 1, n_known, base, model_score, none, none)
-            tail = np.flatnonzero(~here)
-            found = Counter(zip(at[tail].tolist(), [chunk.words[i] for i in tail.tolist()], strict=True))
-            if found:
-                places = pa.array([row + d for d, _ in found], pa.int64())
-                none = pa.nulls(len(found))
-                yield _rows(places, *[none] * 6, pa.array([w for _, w in found], pa.binary()), pa.array(list(found.values()), pa.int64()))
-            row += size
-
-    marked = cut(rows.mapInArrow(score, ", ".join(f"{k} {t}" for k, t in SCORED)), "lm-scored")
-    tail = marked.where("word is not null").select("row", "word", "k")
-    tail = tail.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more"),
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    return marked.where("word is null").join(tail, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
-    )
-
-
-SCORED = [
-    ("row", "long"), ("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"),
-    ("base", "double"), ("score", "double"), ("word", "binary"), ("k", "long"),
-]
-_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
-
-
-def _rows(*columns) -> pa.RecordBatch:
-    arrays = [pa.array(c) if isinstance(c, np.ndarray) else c for c in columns]
-    return pa.RecordBatch.from_arrays([a.cast(_ARROW[t]) for a, (_, t) in zip(arrays, SCORED, strict=True)], names=[n for n, _ in SCORED])
+    followers = answers.where("chunk is null").select(F.explode(F.arrays_zip("u", "followers")).alias("x"))
+    followers = cut(followers.groupBy(F.col("x.u").alias("id")).agg(F.sum("x.followers").alias("followers")), "lm-followers")
+    common = followers.where(F.col("id") < TAIL).toArrow()
+    head_followers = np.zeros(TAIL)
+    head_followers[np.array(common.column("id"), dtype=np.int64)] = np.array(common.column("followers"))
+    known = spark.sparkContext.broadcast((c, c, head_followers))
+    rare = counts
+    if words:
+        least = F.lit(int(c[len(words)]))
+        in_head = (F.octet_length("word") <= HEAD_BYTES) & ((F.col("c") > least) | ((F.col("c") == least) & (F.col("word") <= F.lit(words[-1]))))
+        rare = counts.where(~in_head)
+    rare = rare.select("word", "c", word_id("word").alias("id"))
+    totals = rare.groupBy("id").agg(F.sum("c").alias("total"))
+    rare = rare.join(totals, "id").join(followers, "id", "left").select("word", "c", "total", F.coalesce("followers", F.lit(0)).alias("followers"))
+    asked = forms.select("chunk", F.posexplode("tail").alias("pos", "word")).join(rare, "word").drop("word")
+    parts = forms.select("chunk", "doc_ids", "held", "tokens")
+    parts = parts.unionByName(answers.where("chunk is not null").select("chunk", "shard", "answers"), allowMissingColumns=True)
+    parts = parts.unionByName(asked, allowMissingColumns=True)
+    out = cut(evaluated(parts, known, shards, n, v, n_docs), "lm-scored")
+    drop(counts, forms, answers, followers)
+    release(spark)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_ngram_trie_scores(spark, sf_dir: str) -> DataFrame:

@@ -326,24 +326,66 @@ def test_lm_is_a_distribution():
     """Shares and leftover mass of a context add up to one, up to the codes' steps."""
     rng = np.random.default_rng(3)
     t = rng.zipf(1.5, 5000) % 60 + 2
-    c1, c2, c3 = Counter(t.tolist()), Counter(zip(t, t[1:], strict=False)), Counter(zip(t, t[1:], t[2:], strict=False))
-    uv, uvw = sorted(k for k in c2 if c2[k] > 1), sorted(k for k in c3 if c3[k] > 1)
-    key = lambda k: sum(int(x) << 16 * (len(k) - 1 - i) for i, x in enumerate(k))
-    totals = np.zeros(65536)
-    for k, n in c1.items():
-        totals[k] = n
-    trie = elias_fano.Trie.build(np.array([key(k) for k in uv]), np.array([c2[k] for k in uv]), np.array([key(k) for k in uvw]), np.array([c3[k] for k in uvw]), totals, 0.75)
+    c2, c3 = Counter(zip(t, t[1:], strict=False)), Counter(zip(t, t[1:], t[2:], strict=False))
+    uv, uvw = sorted(c2), sorted(c3)
+    at = {k: i for i, k in enumerate(uv)}
+    keys, keys3 = [int(a) << 32 | int(b) for a, b in uv], [at[k[:2]] << 32 | int(k[2]) for k in uvw]
+    trie = elias_fano.Trie.build(np.array(keys), np.array([c2[k] for k in uv]), np.array(keys3), np.array([c3[k] for k in uvw]), 0.75)
     trie = elias_fano.Trie.frombuffer(np.frombuffer(trie.tobytes(), np.uint8))
     u, v = map(np.array, zip(*uv, strict=True))
-    node, share = trie.pair(u, v)
-    assert (node == np.arange(len(uv))).all() and np.allclose(share, [(c2[k] - 0.75) / c1[k[0]] for k in uv], rtol=0.05)
+    node, count, rest = trie.pair(u, v)
+    assert (node == np.arange(len(uv))).all() and np.allclose(count, [c2[k] - 0.75 for k in uv], rtol=0.05)
     every = np.arange(62)
     for j in range(0, len(uv), 7):
-        got, rest = trie.triple(np.full(62, j), every)
-        assert got.sum() + rest[0] == pytest.approx(1, abs=0.05)
+        got = trie.triple(np.full(62, j), every)
+        assert got.sum() + rest[j] == pytest.approx(1, abs=0.05)
     assert (trie.pair(np.array([70]), np.array([3]))[0] == -1).all()
 
 
+def slow_scores(rows):
+    """log10 probabilities of texts by the definition, from dictionaries of all n-grams."""
+    tokens = {i: [w.lower() for w in words_of(t)] + [None] for i, t in rows}
+    training = [ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c1 = Counter(w for ws in training for w in ws)
+    c2 = Counter(k for ws in training for k in zip(ws, ws[1:], strict=False))
+    c3 = Counter(k for ws in training for k in zip(ws, ws[1:], ws[2:], strict=False))
+    after1, after2 = Counter(k[0] for k in c2), Counter(k[:2] for k in c3)
+    n, v = sum(c1.values()), len(c1)
+    out = {}
+    for i, ws in tokens.items():
+        total = 0.0
+        for at, w in enumerate(ws):
+            p = (c1[w] + 1) / (n + v + 1)
+            if at and c1[ws[at - 1]]:
+                u = ws[at - 1]
+                p = (max(c2[u, w] - 0.75, 0) + 0.75 * after1[u] * p) / c1[u]
+            if at > 1 and c2[tuple(ws[at - 2 : at])]:
+                uv = tuple(ws[at - 2 : at])
+                p = (max(c3[(*uv, w)] - 0.75, 0) + 0.75 * after2[uv] * p) / c2[uv]
+            total += math.log10(p)
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("head,shard", [(lm_scoring.HEAD, lm_scoring.SHARD_TOKENS), (5, 300)])
+def test_lm_scores_follow_the_definition(spark, monkeypatch, head, shard):
+    """The head's size and the shards change nothing but the codes' steps."""
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 2000)
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(400)] + ["x" * 70]
+    rows = [(i, " ".join(words[int(k) % 401] for k in rng.zipf(1.3, int(rng.integers(1, 60))))) for i in range(150)]
+    rows += [(1000, ""), (1001, None), (1002, "never seen before"), (1003, "w1 " * 3000), (1004, "x" * 70)]
+    want = slow_scores([(i, t or "") for i, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in lm_scoring.scored(docs).collect()}
+    assert out.keys() == want.keys()
+    for i, r in out.items():
+        assert r["score"] == pytest.approx(want[i], abs=0.02 * r["n_tokens"])
+    assert sum(r["score"] for r in out.values()) == pytest.approx(sum(want.values()), rel=0.005)
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
