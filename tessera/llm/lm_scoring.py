@@ -6,11 +6,12 @@ leave is passed to the next lower order, down to add-one over single words with
 are told by rank; all others by a 31-bit hash in n-grams, so of V such words about V / 2^32 share theirs with another's.
 
 Texts are tokenised once to count words and once into chunks, which are written to the shared folder: token codes and the
-distinct words beyond the head. A chunk's distinct n-grams, with their training counts, go to shards by a hash of their
-first two words. A shard sums the counts, builds one trie, looks all n-grams up in it and answers each chunk; chunks meet
-their answers and the counts of their rare words by joins. So no task holds the model or the vocabulary: a shard's size,
-a chunk's and the head's are constants, and only the head's words and counts are broadcast (HEAD words of HEAD_BYTES at
-most). A trie's levels are flat arrays in one buffer, looked up in place. One text is in one chunk, however long it is.
+distinct words beyond the head. A chunk's distinct n-grams and rare words, with their training counts, go to shards: by
+a hash of their first two words, or of the first alone if it is rare, which meets its own n-grams there. A shard sums the
+counts, builds one trie, looks everything up and answers each chunk; a chunk meets its answers and scores its texts. So
+no task holds the model or the vocabulary: a shard's size, a chunk's and the head's are constants, and only the head's
+words and counts are broadcast (HEAD words of HEAD_BYTES at most). A trie's levels are flat arrays in one buffer, looked
+up in place. One text is in one chunk, however long it is.
 
 Nulls are empty texts: one end token. Rows without doc_id are training rows. Repeated rows are scored and counted each
 for itself. Extra columns are ignored. An empty table gives an empty result; without training rows all counts are 0.
@@ -47,15 +48,11 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def tail_id(word: bytes) -> int:
-    """The id of a word beyond the head; word_id() is the same in SQL."""
+    """The id of a word beyond the head."""
     h = xxhash.xxh64_intdigest(word, 42)
     return TAIL + (h - (h >> 63 << 64)) % TAIL_IDS
 
 
-def word_id(word: str) -> F.Column:
-    return F.lit(TAIL) + F.pmod(F.xxhash64(word), F.lit(TAIL_IDS))
-
-
 def word_counts(training: DataFrame) -> DataFrame:
     """training (text) to (word, c); each task sums what fits before it is shuffled."""
 
@@ -143,10 +140,11 @@ def formed(rows: DataFrame, head) -> DataFrame:
 
 
 class Grams:
-    """Distinct pairs and triples of a chunk, by shard, and which of them stands at each place."""
+    """Distinct pairs, triples and rare words of a chunk, by shard, and which of them stands at each place."""
 
     def __init__(self, tokens: bytes, shards: int):
-        self.lengths, self.codes, tail_ids = unpack(tokens)
+        self.lengths, self.codes, tail = unpack(tokens)
+        tail_ids = tail.astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths + 1)
         ids = self.codes.astype(np.int64)
         rare = ids >= TAIL
@@ -164,53 +162,66 @@ class Grams:
         self.places3 = self.places[more]
         self.triples, self.triple_at = np.unique(self.pair_at[more] << 32 | ids[self.places3 + 2], return_inverse=True)
         self.edges3 = np.searchsorted(self.triples >> 32, self.edges)
+        where = shard_of(tail_ids << 32, shards)
+        self.tail_order = np.argsort(where, kind="stable")
+        self.tail_edges = np.searchsorted(where[self.tail_order], np.arange(shards + 1))
+        self.tail_ids = tail_ids
 
 
 def shard_of(uv: np.ndarray, shards: int) -> np.ndarray:
-    """Even shards, by Fibonacci hashing of the first two words."""
-    h = uv.astype(np.uint64)
+    """Even shards, by Fibonacci hashing of the first two words, or of the first if it is rare."""
+    h = np.where(uv >> 32 >= TAIL, uv & ~WORD, uv).astype(np.uint64)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     return (h >> np.uint64(33)).astype(np.int64) % shards
 
 
 def counted(forms: DataFrame, shards: int) -> DataFrame:
-    """forms to (shard, chunk, grams): each shard's part of a chunk's pairs and triples, with training counts."""
+    """forms to (shard, chunk, grams): each shard's part of a chunk's pairs, triples and rare words, with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, held, tokens in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for chunk, held, tokens, tail in zip(*(batch.column(i) for i in range(4)), strict=True):
                 g = Grams(tokens.as_py(), shards)
                 learns = ~np.array(held.as_py(), dtype=bool)[g.doc]
                 c2 = np.bincount(g.pair_at, weights=learns[g.places], minlength=len(g.pairs)).astype("<u4")
                 c3 = np.bincount(g.triple_at, weights=learns[g.places3], minlength=len(g.triples)).astype("<u4")
+                rare = g.codes >= TAIL
+                c1 = np.bincount(g.codes[rare] - TAIL, weights=learns[rare], minlength=len(g.tail_ids)).astype("<u4")[g.tail_order]
+                ids, words = g.tail_ids[g.tail_order].astype("<i4"), tail.values.take(pa.array(g.tail_order))
+                sizes = pc.binary_length(words).to_numpy().astype("<u4")
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                letters = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
                 found, blobs = [], []
-                for s in np.flatnonzero(np.diff(g.edges)).tolist():
+                for s in np.flatnonzero(np.diff(g.edges) + np.diff(g.tail_edges)).tolist():
                     a, b, a3, b3 = g.edges[s], g.edges[s + 1], g.edges3[s], g.edges3[s + 1]
-                    some = g.triples[a3:b3]
+                    some, a1, b1 = g.triples[a3:b3], g.tail_edges[s], g.tail_edges[s + 1]
                     found.append(s)
                     blobs.append(pack(
-                        steps(g.pairs[a:b]), c2[a:b], steps((some >> 32) - a).astype("<u4"), (some & WORD).astype("<u4"), c3[a3:b3]
+                        steps(g.pairs[a:b]), c2[a:b], steps((some >> 32) - a).astype("<u4"), (some & WORD).astype("<u4"), c3[a3:b3],
+                        ids[a1:b1], c1[a1:b1], sizes[a1:b1], letters[ends[a1] : ends[b1]],
                     ))
                 names, columns = ["shard", "chunk", "grams"], [found, [chunk.as_py()] * len(found), blobs]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names
                 )
 
-    return forms.select("chunk", "held", "tokens").mapInArrow(run, "shard long, chunk long, grams binary")
+    return forms.select("chunk", "held", "tokens", "tail").mapInArrow(run, "shard long, chunk long, grams binary")
 
 
 ANSWER = "chunk long, shard long, answers binary, u array<long>, followers array<long>"
 
 
 def answered(grams: DataFrame) -> DataFrame:
-    """counted() to the answers for each chunk: pairs' discounted counts, the mass they leave, triples' shares.
+    """counted() to the answers for each chunk: pairs' discounted counts, the mass they leave, triples' shares, and rare
+    words' counts, those as a context, and the numbers of words that follow.
 
-    A row without chunk has the shard's contexts of one word, with the number of words that follow each.
+    A row without chunk has the shard's frequent contexts of one word, with the number of words that follow each.
     """
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py()) for x in table.column("grams")]
-        sizes, sizes3 = [len(p[0]) for p in parts], [len(p[2]) for p in parts]
+        sizes, sizes3, sizes1 = ([len(p[i]) for p in parts] for i in (0, 2, 5))
+        rare = rare_counts(parts)
         pairs, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
         c2 = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(pairs)).astype(np.int64)
         starts = np.cumsum([0, *sizes])
@@ -227,12 +238,15 @@ def answered(grams: DataFrame) -> DataFrame:
         node, count, rest = trie.pair(pairs >> 32, pairs & WORD)
         share = trie.triple(node[triples >> 32], triples & WORD)
         count, rest, share = (x.astype("<f4") for x in (count, rest, share))
-        ends, ends3 = np.cumsum(sizes), np.cumsum(sizes3)
-        answers = []
-        for i, (n, n3) in enumerate(zip(sizes, sizes3, strict=True)):
-            mine, mine3 = at[ends[i] - n : ends[i]], at3[ends3[i] - n3 : ends3[i]]
-            answers.append(pack(count[mine], rest[mine], share[mine3]))
         u, followers = np.unique(pairs[seen] >> 32, return_counts=True)
+        of = np.searchsorted(u, rare[0])
+        after = np.where(np.append(u, -1)[of] == rare[0], np.append(followers, 0)[of], 0)
+        ends, ends3, ends1 = (np.cumsum(x) for x in (sizes, sizes3, sizes1))
+        answers = []
+        for i, (n, n3, n1) in enumerate(zip(sizes, sizes3, sizes1, strict=True)):
+            mine, mine3, mine1 = at[ends[i] - n : ends[i]], at3[ends3[i] - n3 : ends3[i]], slice(ends1[i] - n1, ends1[i])
+            answers.append(pack(count[mine], rest[mine], share[mine3], rare[1][mine1], rare[2][mine1], after[mine1]))
+        u, followers = u[u < TAIL], followers[u < TAIL]
         k, shard = len(answers), table.column("shard")[0].as_py()
         columns = [
             [*table.column("chunk").to_pylist(), None], [shard] * (k + 1), [*answers, None], [None] * k + [u], [None] * k + [followers]
@@ -243,6 +257,17 @@ def answered(grams: DataFrame) -> DataFrame:
     return grams.groupBy("shard").applyInArrow(run, ANSWER)
 
 
+def rare_counts(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the parts' rare words in turn: its id, its count over all parts, and its id's."""
+    ids, counts, sizes, letters = (np.concatenate([p[i] for p in parts]) for i in range(5, 9))
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    at = words.dictionary_encode().indices.to_numpy()
+    _, at_id = np.unique(ids, return_inverse=True)
+    c, total = (np.bincount(x, weights=counts).astype(np.int64)[x] if len(x) else x.astype(np.int64) for x in (at, at_id))
+    return ids.astype(np.int64), c, total
+
+
 SCORED = [
     ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
     ("base_score", pa.float64()), ("score", pa.float64()),
@@ -250,22 +275,17 @@ SCORED = [
 
 
 def evaluated(parts: DataFrame, known, shards: int, n: int, v: int, n_docs: int) -> DataFrame:
-    """A chunk's form, answers and facts of rare words to its documents' scores."""
+    """A chunk's form and answers to its documents' scores; known: counts of frequent words, and words that follow them."""
 
     def run(table: pa.Table) -> pa.Table:
         form = table.filter(pc.is_valid(table.column("tokens")))
         g = Grams(form.column("tokens")[0].as_py(), shards)
-        head_c, head_total, head_followers = known.value
-        n_tail = max(int(g.codes.max()) - TAIL + 1, 0)
-        facts = [np.concatenate([x, np.zeros(n_tail)]) for x in (head_c, head_total, head_followers)]
-        tail = table.filter(pc.is_valid(table.column("pos")))
-        pos = tail.column("pos").to_numpy() + TAIL
-        for x, name in zip(facts, ("c", "total", "followers"), strict=True):
-            x[pos] = tail.column(name).to_numpy()
-        c, total, followers = facts
         got = table.filter(pc.is_valid(table.column("answers"))).sort_by("shard").column("answers")
         answers = [unpack(x.as_py()) for x in got]
-        count, rest, share = (np.concatenate([a[i] for a in answers] or [np.zeros(0)]).astype(np.float64) for i in range(3))
+        count, rest, share, *rare = (np.concatenate([a[i] for a in answers] or [np.zeros(0)]).astype(np.float64) for i in range(6))
+        c, total, followers = (np.concatenate([known.value[i], np.zeros(len(g.tail_ids))]) for i in (0, 0, 1))
+        for x, found in zip((c, total, followers), rare, strict=True):
+            x[TAIL + g.tail_order] = found
         log_single = np.log10(c + 1) - np.log10(n + v + 1)
         p = 10.0 ** log_single[g.codes]
         u = g.codes[g.places]
@@ -308,26 +328,15 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     forms = cut(formed(rows, ranks), "lm-chunks")
     answers = cut(answered(counted(forms, shards)), "lm-answers")
     release(spark)
-    followers = answers.where("chunk is null").select(F.explode(F.arrays_zip("u", "followers")).alias("x"))
-    followers = cut(followers.groupBy(F.col("x.u").alias("id")).agg(F.sum("x.followers").alias("followers")), "lm-followers")
-    common = followers.where(F.col("id") < TAIL).toArrow()
+    common = answers.where("chunk is null").select(F.explode(F.arrays_zip("u", "followers")).alias("x"))
+    common = common.groupBy(F.col("x.u").alias("id")).agg(F.sum("x.followers").alias("followers")).toArrow()
     head_followers = np.zeros(TAIL)
     head_followers[np.array(common.column("id"), dtype=np.int64)] = np.array(common.column("followers"))
-    known = spark.sparkContext.broadcast((c, c, head_followers))
-    rare = counts
-    if words:
-        least = F.lit(int(c[len(words)]))
-        in_head = (F.octet_length("word") <= HEAD_BYTES) & ((F.col("c") > least) | ((F.col("c") == least) & (F.col("word") <= F.lit(words[-1]))))
-        rare = counts.where(~in_head)
-    rare = rare.select("word", "c", word_id("word").alias("id"))
-    totals = rare.groupBy("id").agg(F.sum("c").alias("total"))
-    rare = rare.join(totals, "id").join(followers, "id", "left").select("word", "c", "total", F.coalesce("followers", F.lit(0)).alias("followers"))
-    asked = forms.select("chunk", F.posexplode("tail").alias("pos", "word")).join(rare, "word").drop("word")
+    known = spark.sparkContext.broadcast((c, head_followers))
     parts = forms.select("chunk", "doc_ids", "held", "tokens")
     parts = parts.unionByName(answers.where("chunk is not null").select("chunk", "shard", "answers"), allowMissingColumns=True)
-    parts = parts.unionByName(asked, allowMissingColumns=True)
     out = cut(evaluated(parts, known, shards, n, v, n_docs), "lm-scored")
-    drop(counts, forms, answers, followers)
+    drop(counts, forms, answers)
     release(spark)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
