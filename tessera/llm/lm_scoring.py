@@ -237,7 +237,7 @@ def answered(grams: DataFrame) -> DataFrame:
         trie = Trie.frombuffer(np.frombuffer(trie.tobytes(), np.uint8))
         node, count, rest = trie.pair(pairs >> 32, pairs & WORD)
         share = trie.triple(node[triples >> 32], triples & WORD)
-        count, rest, share = (x.astype("<f4") for x in (count, rest, share))
+        coded = [Coded(x) for x in (count, rest, share)]
         u, followers = np.unique(pairs[seen] >> 32, return_counts=True)
         of = np.searchsorted(u, rare[0])
         after = np.where(np.append(u, -1)[of] == rare[0], np.append(followers, 0)[of], 0)
@@ -245,7 +245,9 @@ def answered(grams: DataFrame) -> DataFrame:
         answers = []
         for i, (n, n3, n1) in enumerate(zip(sizes, sizes3, sizes1, strict=True)):
             mine, mine3, mine1 = at[ends[i] - n : ends[i]], at3[ends3[i] - n3 : ends3[i]], slice(ends1[i] - n1, ends1[i])
-            answers.append(pack(count[mine], rest[mine], share[mine3], rare[1][mine1], rare[2][mine1], after[mine1]))
+            c, total = rare[1][mine1], rare[2][mine1]
+            learnt = [a for x, some in zip(coded, (mine, mine, mine3), strict=True) for a in x.part(some)]
+            answers.append(pack(*learnt, c, total - c, total - after[mine1]))
         u, followers = u[u < TAIL], followers[u < TAIL]
         k, shard = len(answers), table.column("shard")[0].as_py()
         columns = [
@@ -257,6 +259,24 @@ def answered(grams: DataFrame) -> DataFrame:
     return grams.groupBy("shard").applyInArrow(run, ANSWER)
 
 
+class Coded:
+    """Numbers of few distinct values, whose parts travel as codes and the values that they use."""
+
+    def __init__(self, values: np.ndarray):
+        self.book, self.code = np.unique(values.astype("<f4"), return_inverse=True)
+
+    def part(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = self.code[places]
+        used = np.bincount(code, minlength=len(self.book)) > 0
+        return self.book[used], (np.cumsum(used) - 1)[code].astype("<u2")
+
+
+def _told(*a: np.ndarray) -> list[np.ndarray]:
+    """An answer's arrays as they were: three coded ones, then counts, totals and followers of rare words."""
+    c, more, fewer = a[6:]
+    return [a[0][a[1]], a[2][a[3]], a[4][a[5]], c, c + more, c + more - fewer]
+
+
 def rare_counts(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each of the parts' rare words in turn: its id, its count over all parts, and its id's."""
     ids, counts, sizes, letters = (np.concatenate([p[i] for p in parts]) for i in range(5, 9))
@@ -281,7 +301,7 @@ def evaluated(parts: DataFrame, known, shards: int, n: int, v: int, n_docs: int)
         form = table.filter(pc.is_valid(table.column("tokens")))
         g = Grams(form.column("tokens")[0].as_py(), shards)
         got = table.filter(pc.is_valid(table.column("answers"))).sort_by("shard").column("answers")
-        answers = [unpack(x.as_py()) for x in got]
+        answers = [_told(*unpack(x.as_py())) for x in got]
         count, rest, share, *rare = (np.concatenate([a[i] for a in answers] or [np.zeros(0)]).astype(np.float64) for i in range(6))
         c, total, followers = (np.concatenate([known.value[i], np.zeros(len(g.tail_ids))]) for i in (0, 0, 1))
         for x, found in zip((c, total, followers), rare, strict=True):
