@@ -97,6 +97,21 @@ def test_fusion(spark):
     assert out["doc_id"] == "b"
 
 
+def test_fusion_of_flat_legs(spark, tmp_path):
+    """A leg whose scores are all equal: nothing by default, what the SQL's division gives in the query."""
+    leg = lambda *x: spark.createDataFrame(list(x), "doc_id string, score double")
+    out = fused(leg(("a", 2.0), ("b", 2.0)), leg(("b", 1.0), ("a", 0.0)), 0.1, 0.9, "minmax")
+    assert {r["doc_id"]: r["score"] for r in out.collect()} == {"a": 0.0, "b": 0.9}
+    rows = [(i, "pour " * (i % 5) + "more words", "en", "web", 500) for i in range(70)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.sql(catalogue.ORACLES["hybrid_minmax"]).fetchall()
+    got = catalogue.QUERIES["hybrid_minmax"](spark, str(tmp_path)).collect()
+    assert sorted((i, str(x)) for i, x in got) == sorted((i, str(x)) for i, x in want)
+    assert sum(math.isnan(x) for _, x in got) == 50
+
+
 def test_highlight(spark):
     row = spark.range(1).select(highlight(F.lit("Fast cars, fastest CARS"), ["cars", "fast"]).alias("h")).first()
     assert row["h"] == "<b>Fast</b> <b>cars</b>, fastest <b>CARS</b>"
