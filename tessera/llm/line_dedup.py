@@ -11,11 +11,12 @@ shingles are kept too, which serves lines of few distinct shingles. An empty bin
 of three bins are the bucket keys: lines of similarity 0.8 share one with a probability of 0.993, of 0.85 with 0.998, by
 simulation; tests and README have the measured recall.
 
-Buckets are never expanded into all pairs: each line meets the bucket's least line and its neighbour in the order of
+Buckets are not expanded into all pairs at first: each line meets the bucket's least line and its neighbour in the order of
 another bin, so the pairs grow with the lines. Candidates are verified by the exact Jaccard similarity of their distinct
 shingles, and distributed union-find joins verified pairs to components. Members of buckets that still hold several
-components go through this again with the components' other lines as centres, until a round finds no new link. Each
-component keeps one line: the first line of its smallest doc_id.
+components go through this again with the components' other lines as centres, until a round finds no new link. What these
+rounds leave is settled by all pairs of a bucket's lines of different components whose signatures may be alike, so no two
+similar lines that share a bucket stay apart. Each component keeps one line: the first line of its smallest doc_id.
 
 Null and empty texts have no lines to compare and stay as they are, and so do rows without doc_id. A document is told by
 doc_id and text: rows that repeat both count as one, rows that repeat a doc_id with another text are documents of their
@@ -160,6 +161,24 @@ def mixed_pairs(met: DataFrame, roots: DataFrame, tried: list[DataFrame]) -> Dat
     return more
 
 
+def other_pairs(met: DataFrame, roots: DataFrame, bins: DataFrame, tried: list[DataFrame], threshold: float) -> DataFrame:
+    """All pairs (a, b) of a bucket's lines of different components that may be alike, by roots (k1, root) and bins (k1, bins).
+
+    With these, every two lines that share a bucket are compared or stand in one component already.
+    """
+    member = met.select("key", "k1").join(roots, "k1", "left").select("key", "k1", F.coalesce("root", "k1").alias("root"))
+    mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    member = cut(member.join(mixed, "key").join(bins, "k1"), "bucket-members")
+    left = member.select("key", F.col("k1").alias("a"), F.col("root").alias("ra"), F.col("bins").alias("ma"))
+    right = member.select("key", F.col("k1").alias("b"), F.col("root").alias("rb"), F.col("bins").alias("mb"))
+    more = left.join(right, "key").where("a < b and ra <> rb").where(alike("ma", "mb", threshold)).select("a", "b").distinct()
+    for known in tried:
+        more = more.join(known, ["a", "b"], "left_anti")
+    more = cut(more, "bucket-others")
+    drop(member)
+    return more
+
+
 def rooted(links: DataFrame) -> DataFrame:
     """links to (k1, k2, r1, r2): every linked line and its component's least line."""
     ends = links.select(F.col("a").alias("k1"), F.col("a2").alias("k2")).union(links.select(F.col("b").alias("k1"), F.col("b2").alias("k2")))
@@ -199,7 +218,14 @@ def line_components(lines: DataFrame, seen: DataFrame, threshold: float = THRESH
         drop(links, found, roots)
         links = both
         roots = rooted(links)
-    drop(met, texts, links, *tried)
+    named = roots.select("k1", F.col("r1").alias("root"))
+    tried.append(other_pairs(met, named, lines.select("k1", "bins"), tried, threshold))
+    found = None if tried[-1].isEmpty() else verified(tried[-1], texts, threshold)
+    if found is not None and not found.isEmpty():
+        before = roots
+        roots = rooted(links.union(found))
+        drop(before)
+    drop(met, texts, links, *([] if found is None else [found]), *tried)
     return roots
 
 
