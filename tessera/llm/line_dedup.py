@@ -14,9 +14,16 @@ simulation; tests and README have the measured recall.
 Buckets are not expanded into all pairs at first: each line meets the bucket's least line and its neighbour in the order of
 another bin, so the pairs grow with the lines. Candidates are verified by the exact Jaccard similarity of their distinct
 shingles, and distributed union-find joins verified pairs to components. Members of buckets that still hold several
-components go through this again with the components' other lines as centres, until a round finds no new link. What these
-rounds leave is settled by all pairs of a bucket's lines of different components whose signatures may be alike, so no two
-similar lines that share a bucket stay apart. Each component keeps one line: the first line of its smallest doc_id.
+components go through this again with the components' other lines as centres, until a round adds few links. What these
+rounds leave is settled by all pairs of a bucket's lines of different components, so no two similar lines that share a
+bucket stay apart.
+
+No pair is looked at, or leaves a bucket, that its sketches rule out. A sketch is the parity of a line's distinct shingles
+in each of 64 * WORDS cells. Two sketches differ in no more cells than the sets in shingles, so a pair with too many
+differing cells can't have the similarity: the bound loses nothing. Of a pair that shares several buckets only the first
+one's is made.
+
+Each component keeps one line: the first line of its smallest doc_id.
 
 Null and empty texts have no lines to compare and stay as they are, and so do rows without doc_id. A document is told by
 doc_id and text: rows that repeat both count as one, rows that repeat a doc_id with another text are documents of their
@@ -26,6 +33,9 @@ kept, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +52,10 @@ KEPT = 48
 BACKUP = 24
 #: A bucket of more lines is dealt into as many parts as it takes for neighbours; its least line meets all of them.
 BUCKET = 10_000
+#: Longs of a sketch.
+WORDS = 16
+#: Rounds of heads go on while they add more than this share of the links.
+FEW = 0.1
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -94,13 +108,24 @@ def signatures(lines: DataFrame) -> DataFrame:
     return dense.select("k1", "k2", "keeper", "copies", F.array(*[f"d{k}" for k in range(BINS)]).alias("bins"))
 
 
+def band(bins: str, first: int) -> list[F.Column]:
+    return [F.get(bins, F.lit((first + j) % BINS)) for j in BAND]
+
+
+def band_key(bins: str, first: int) -> F.Column:
+    own = band(bins, first)
+    return F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(first), *own))
+
+
+def buckets(keys: DataFrame) -> DataFrame:
+    """band_keys() to (key, o, k1, first, size) for buckets of several members."""
+    own = Window.partitionBy("key")
+    return cut(keys.select("*", F.min("k1").over(own).alias("first"), F.count("*").over(own).alias("size")).where("size > 1"), "buckets")
+
+
 def band_keys(lines: DataFrame) -> DataFrame:
     """signatures() to (key, o, k1): a line's buckets, and another bin, which puts neighbours in order."""
-    keys = []
-    for first in range(0, BINS, 2):
-        own = [F.get("bins", F.lit((first + j) % BINS)) for j in BAND]
-        key = F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(first), *own))
-        keys.append(F.struct(key.alias("key"), F.get("bins", F.lit((first + 2) % BINS)).alias("o")))
+    keys = [F.struct(band_key("bins", first).alias("key"), F.get("bins", F.lit((first + 2) % BINS)).alias("o")) for first in range(0, BINS, 2)]
     return lines.select("k1", F.explode(F.array(*keys)).alias("x")).select("x.key", "x.o", "k1").where("key is not null")
 
 
@@ -111,6 +136,30 @@ def texts_of(names: DataFrame, lines: DataFrame, seen: DataFrame) -> DataFrame:
     return cut(found.select("k1", "k2", units(F.col("norm")).alias("b"), "bins").dropDuplicates(["k1", "k2"]), "line-texts")
 
 
+def sketches(texts: DataFrame) -> DataFrame:
+    """texts_of() to (k1, k2, n, x0, x1, ...): the count and the sketch of a line's distinct shingles."""
+    found = F.array_distinct(F.transform(starts(F.col("b")), lambda i: shingle_hash(F.col("b"), i)))
+    each = texts.select("k1", "k2", F.explode(found).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 5).bitwiseAND(F.lit(63)).cast("int"))
+    each = each.select("k1", "k2", F.col("h").bitwiseAND(F.lit(WORDS - 1)).cast("int").alias("w"), bit.alias("x"))
+    words = [F.bit_xor(F.when(F.col("w") == k, F.col("x"))).alias(f"x{k}") for k in range(WORDS)]
+    return cut(each.groupBy("k1", "k2").agg(F.count("*").alias("n"), *words), "sketches")
+
+
+def side(marks: DataFrame, name: str, *more: F.Column) -> DataFrame:
+    """sketches() with the names of one side of a pair; none of its numbers is null, which keeps generated code short."""
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(f"{name}_{c}") for c in ("n", *[f"x{k}" for k in range(WORDS)])]
+    return marks.select(F.col("k1").alias(name), *more, *numbers)
+
+
+def may_reach(threshold: float) -> F.Column:
+    """Whether the counts and sketches of sides a and b leave it possible that two sets have the similarity."""
+    apart = sum((F.bit_count(F.col(f"a_x{k}").bitwiseXOR(F.col(f"b_x{k}"))) for k in range(WORDS)), F.lit(0))
+    # as in similar(): common * (1 + t) >= n * t, and n - 2 * common shingles differ
+    most = (F.col("a_n") + F.col("b_n")) * (1 - threshold) / (1 + threshold) + 1e-6
+    return (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (apart <= most)
+
+
 def similar(a: str, b: str, threshold: float) -> F.Column:
     """Whether two encoded lines' distinct shingles have the similarity; lambdas hold what is used more than once."""
     sets = F.transform(F.array(a, b), lambda x: F.array_distinct(F.transform(starts(x), lambda i: shingle_hash(x, i))))
@@ -126,15 +175,20 @@ def alike(a: str, b: str, threshold: float) -> F.Column:
     return equal >= int(BINS * threshold - 5 * (BINS * threshold * (1 - threshold)) ** 0.5)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b) of first names to links (a, a2, b, b2) whose exact similarity reaches the threshold.
 
-    Pairs whose signatures differ far too much for the threshold are spared the exact look.
+    Pairs whose sketches rule it out are spared the exact look.
     """
-    left = texts.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("b").alias("ba"), F.col("bins").alias("ma"))
-    right = texts.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("b").alias("bb"), F.col("bins").alias("mb"))
-    both = pairs.join(left, "a").join(right, "b").where(alike("ma", "mb", threshold))
-    return cut(both.where(similar("ba", "bb", threshold)).select("a", "a2", "b", "b2"), "line-links")
+    left, right = side(marks, "a", F.col("k2").alias("a2")), side(marks, "b", F.col("k2").alias("b2"))
+    asked = pairs.join(left, "a").join(right, "b").where(may_reach(threshold))
+    asked = cut(asked.select("a", "a2", "b", "b2"), "line-asked")
+    left = texts.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("b").alias("ba"))
+    right = texts.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("b").alias("bb"))
+    both = asked.join(left, ["a", "a2"]).join(right, ["b", "b2"])
+    links = cut(both.where(similar("ba", "bb", threshold)).select("a", "a2", "b", "b2"), "line-links")
+    drop(asked)
+    return links
 
 
 def bucket_pairs(met: DataFrame) -> DataFrame:
@@ -161,17 +215,25 @@ def mixed_pairs(met: DataFrame, roots: DataFrame, tried: list[DataFrame]) -> Dat
     return more
 
 
-def other_pairs(met: DataFrame, roots: DataFrame, bins: DataFrame, tried: list[DataFrame], threshold: float) -> DataFrame:
-    """All pairs (a, b) of a bucket's lines of different components that may be alike, by roots (k1, root) and bins (k1, bins).
+def other_pairs(met: DataFrame, roots: DataFrame, marks: DataFrame, tried: list[DataFrame], threshold: float) -> DataFrame:
+    """All pairs (a, b) of a bucket's lines of different components that may be alike, by roots (k1, root) and marks (k1, bins).
 
-    With these, every two lines that share a bucket are compared or stand in one component already.
+    With these, every two lines that share a bucket are compared or stand in one component already. If marks has sketches
+    these tell which pairs may be alike, and only the first bucket that a pair shares makes it; else signatures tell.
     """
     member = met.select("key", "k1").join(roots, "k1", "left").select("key", "k1", F.coalesce("root", "k1").alias("root"))
     mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    member = cut(member.join(mixed, "key").join(bins, "k1"), "bucket-members")
-    left = member.select("key", F.col("k1").alias("a"), F.col("root").alias("ra"), F.col("bins").alias("ma"))
-    right = member.select("key", F.col("k1").alias("b"), F.col("root").alias("rb"), F.col("bins").alias("mb"))
-    more = left.join(right, "key").where("a < b and ra <> rb").where(alike("ma", "mb", threshold)).select("a", "b").distinct()
+    member = cut(member.join(mixed, "key").join(marks, "k1"), "bucket-members")
+    if "x0" in marks.columns:
+        at = range(0, BINS, 2)
+        # a line without a band's key has its own name there, which no other line has
+        of = lambda x: side(member, x, "key", F.col("root").alias(f"r{x}"), *[F.coalesce(band_key("bins", k), "k1").alias(f"{x}_k{k}") for k in at])
+        ahead = F.coalesce(*[F.when(F.col(f"a_k{k}") == F.col(f"b_k{k}"), F.col(f"a_k{k}")) for k in at])
+        fit = (ahead == F.col("key")) & may_reach(threshold)
+    else:
+        of = lambda x: member.select("key", F.col("k1").alias(x), F.col("root").alias(f"r{x}"), F.col("bins").alias(f"m{x}"))
+        fit = alike("ma", "mb", threshold)
+    more = of("a").join(of("b"), "key").where("a < b and ra <> rb").where(fit).select("a", "b").distinct()
     for known in tried:
         more = more.join(known, ["a", "b"], "left_anti")
     more = cut(more, "bucket-others")
@@ -195,37 +257,36 @@ def rooted(links: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame, seen: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """signatures() to (k1, k2, r1, r2) for lines that have a near copy."""
-    each = band_keys(lines)
-    sizes = cut(each.groupBy("key").agg(F.count("*").alias("size"), F.min("k1").alias("first")).where("size > 1"), "line-sizes")
-    met = cut(each.join(sizes, "key"), "line-buckets")
+    met = buckets(band_keys(lines))
     pairs = cut(bucket_pairs(met), "line-pairs")
-    drop(sizes)
-    names = met.select("k1").distinct()
-    texts = texts_of(names, lines, seen)
-    links = verified(pairs, texts, threshold)
+    texts = texts_of(met.select("k1").distinct(), lines, seen)
+    marks = sketches(texts)
+    links = verified(pairs, texts, marks, threshold)
+    n_links = links.count()
     roots = rooted(links)
     tried = [pairs]
     while True:
         more = cut(mixed_pairs(met, roots.select("k1", F.col("r1").alias("root")), tried), "line-pairs")
         tried.append(more)
-        if more.isEmpty():
-            break
-        found = verified(more, texts, threshold)
-        if found.isEmpty():
-            drop(found)
+        found = verified(more, texts, marks, threshold)
+        n_found = found.count()
+        if n_found:
+            both = cut(links.union(found), "line-links")
+            drop(links, roots)
+            links = both
+            roots = rooted(links)
+        drop(found)
+        n_links += n_found
+        if n_found <= FEW * n_links:
             break
-        both = cut(links.union(found), "line-links")
-        drop(links, found, roots)
-        links = both
-        roots = rooted(links)
-    named = roots.select("k1", F.col("r1").alias("root"))
-    tried.append(other_pairs(met, named, lines.select("k1", "bins"), tried, threshold))
-    found = None if tried[-1].isEmpty() else verified(tried[-1], texts, threshold)
-    if found is not None and not found.isEmpty():
+    shown = marks.join(texts.select("k1", "k2", "bins"), ["k1", "k2"]).drop("k2")
+    more = other_pairs(met, roots.select("k1", F.col("r1").alias("root")), shown, [], threshold)
+    found = verified(more, texts, marks, threshold)
+    if not found.isEmpty():
         before = roots
         roots = rooted(links.union(found))
         drop(before)
-    drop(met, texts, links, *([] if found is None else [found]), *tried)
+    drop(met, texts, marks, links, more, found, *tried)
     return roots
 
 
