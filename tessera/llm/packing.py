@@ -161,25 +161,30 @@ class Index:
     """BM25 over one shard: postings by id, as flat arrays."""
 
     def __init__(self, docs: list[np.ndarray]):
-        terms, docs_of, tfs = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            tfs.append(c)
-            docs_of.append(np.full(len(t), i))
-        self.terms = terms
-        term, doc, tf = np.concatenate(terms).astype(np.int64), np.concatenate(docs_of), np.concatenate(tfs)
-        order = np.argsort(term, kind="stable")
-        self.doc, tf = doc[order], tf[order].astype(np.float64)
-        self.vocab, self.at, df = np.unique(term[order], return_index=True, return_counts=True)
+        n = len(docs)
+        bits = max(n - 1, 1).bit_length()
+        ids = np.concatenate(docs)
+        wide = np.uint32 if int(ids.max()) >> (32 - bits) == 0 else np.uint64
+        # one sort by id and document serves all documents
+        keys = ids.astype(wide) << wide(bits) | np.repeat(np.arange(n, dtype=wide), [len(d) for d in docs])
+        keys.sort()
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        tf = np.diff(first, append=len(keys)).astype(np.float64)
+        keys = keys[first]
+        self.doc, term = (keys & wide((1 << bits) - 1)).astype(np.int64), keys >> wide(bits)
+        self.at = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+        df = np.diff(self.at, append=len(term))
         self.to = self.at + df
-        n, length = len(docs), np.array([len(d) for d in docs], dtype=np.float64)
+        #: Places of each document's distinct ids among all, in ascending order.
+        places = np.repeat(np.arange(len(df)), df)[np.argsort(self.doc.astype(np.uint16) if n < 1 << 16 else self.doc, kind="stable")]
+        self.places = np.split(places, np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
+        length = np.array([len(d) for d in docs], dtype=np.float64)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / length.mean())
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
         self.n = n
         common = np.flatnonzero(df >= DENSE)
-        self.row = np.full(len(self.vocab), -1)
+        self.row = np.full(len(df), -1)
         self.row[common] = np.arange(len(common))
         self.rows = np.zeros((len(common), n))
         held = np.repeat(self.row, df)
@@ -187,7 +192,7 @@ class Index:
 
     def scores(self, i: int) -> np.ndarray:
         """BM25 of all documents for document i's distinct ids."""
-        k = np.searchsorted(self.vocab, self.terms[i])
+        k = self.places[i]
         row = self.row[k]
         found = self.rows[row[row >= 0]].sum(axis=0)
         k = k[row < 0]
