@@ -65,6 +65,15 @@ def simhash(text: bytes | None, width: int = 4) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """simhash() of a text whose shingles, repeats included, have these unsigned hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, body, fp): the text's hash, and its fingerprint as a signed long."""
 
