@@ -11,7 +11,7 @@ shingles are kept too, which serves lines of few distinct shingles. An empty bin
 of three bins are the bucket keys: lines of similarity 0.8 share one with a probability of 0.993, of 0.85 with 0.998, by
 simulation; tests and README have the measured recall.
 
-Buckets are not expanded into all pairs at first: each line meets the bucket's least line and its neighbour in the order of
+Buckets of a few lines are expanded into all pairs, larger ones not at first: each line meets the bucket's least line and its neighbour in the order of
 another bin, so the pairs grow with the lines. Candidates are verified by the exact Jaccard similarity of their distinct
 shingles, and distributed union-find joins verified pairs to components. Members of buckets that still hold several
 components go through this again with the components' other lines as centres, until a round adds few links. What these
@@ -52,6 +52,8 @@ KEPT = 48
 BACKUP = 24
 #: A bucket of more lines is dealt into as many parts as it takes for neighbours; its least line meets all of them.
 BUCKET = 10_000
+#: All pairs of a bucket of no more lines than this are compared at once.
+SMALL = 10
 #: Longs of a sketch.
 WORDS = 16
 #: Rounds of heads go on while they add more than this share of the links.
@@ -66,10 +68,18 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(text_col).alias("body"),
         F.posexplode(F.split(F.lower(text_col), "\n")).alias("pos", "line"),
     )
-    lines = some.select("doc_id", "body", "pos", F.btrim("line", F.lit(BLANK)).alias("norm")).where("norm <> ''")
+    lines = some.select("doc_id", "body", "pos", trimmed("line").alias("norm")).where("norm <> ''")
     return lines.select("*", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"))
 
 
+def trimmed(line: str) -> F.Column:
+    """A line without outer white space; btrim walks the whole line, so only lines that have any are sent there."""
+    raw = F.col(line).cast("binary")
+    blanks = [F.lit(c.encode()) for c in BLANK]
+    outer = F.substring(raw, 1, 1).isin(blanks) | F.substring(raw, -1, 1).isin(blanks)
+    return F.when(outer, F.btrim(line, F.lit(BLANK))).otherwise(F.col(line))
+
+
 def units(norm: F.Column) -> F.Column:
     """Two bytes a character, so that a shingle is a slice that is found at once."""
     return F.encode(norm, "UTF-16BE")
@@ -84,6 +94,11 @@ def shingle_hash(b: F.Column, start: F.Column) -> F.Column:
     return F.xxhash64(F.substring(b, start, F.lit(2 * SHINGLE)))
 
 
+def hashes(b: F.Column) -> F.Column:
+    """The hashes of all shingles of an encoded line."""
+    return F.transform(starts(b), lambda i: shingle_hash(b, i))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """lines_of() to (k1, k2, keeper, copies, bins): distinct lines with their least doc_id, and signatures."""
     coded = lines.select("doc_id", "k1", "k2", units(F.col("norm")).alias("b"))
@@ -99,7 +114,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     found = each.groupBy("k1", "k2").agg(
         F.min("doc_id").alias("keeper"),
         F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).alias("copies"),
-        *[F.min(F.when(F.col("bin") == k, F.col("v"))).alias(f"m{k}") for k in range(BINS)],
+        *[F.expr(f"min(v) filter (where bin = {k})").alias(f"m{k}") for k in range(BINS)],
     )
     dense = found.select(
         "k1", "k2", "keeper", "copies",
@@ -125,24 +140,29 @@ def buckets(keys: DataFrame) -> DataFrame:
 
 def band_keys(lines: DataFrame) -> DataFrame:
     """signatures() to (key, o, k1): a line's buckets, and another bin, which puts neighbours in order."""
-    keys = [F.struct(band_key("bins", first).alias("key"), F.get("bins", F.lit((first + 2) % BINS)).alias("o")) for first in range(0, BINS, 2)]
-    return lines.select("k1", F.explode(F.array(*keys)).alias("x")).select("x.key", "x.o", "k1").where("key is not null")
+    keys = F.array(*[band_key("bins", first) for first in range(0, BINS, 2)])
+    each = lines.select("k1", "bins", F.posexplode(keys).alias("at", "key")).where("key is not null")
+    return each.select("key", F.get("bins", (F.col("at") * 2 + 2) % BINS).alias("o"), "k1")
 
 
 def texts_of(names: DataFrame, lines: DataFrame, seen: DataFrame) -> DataFrame:
     """(k1, k2, b, bins): the encoded lines that names (k1) tell, read again from the documents that keep them."""
-    asked = lines.join(names, "k1", "left_semi").select("k1", "k2", F.col("keeper").alias("doc_id"), "bins")
-    found = seen.select("doc_id", "k1", "k2", "norm").join(asked, ["doc_id", "k1", "k2"])
-    return cut(found.select("k1", "k2", units(F.col("norm")).alias("b"), "bins").dropDuplicates(["k1", "k2"]), "line-texts")
+    asked = lines.join(names.hint("shuffle_hash"), "k1", "left_semi").select("k1", "k2", F.col("keeper").alias("doc_id"), "bins")
+    # asked is the smaller side by far: its hash table spares sorting the lines' texts
+    found = seen.select("doc_id", "k1", "k2", "norm").join(asked.hint("shuffle_hash"), ["doc_id", "k1", "k2"])
+    # a line has one keeper, so this is one row a line without another shuffle
+    found = found.dropDuplicates(["doc_id", "k1", "k2"])
+    return cut(found.select("k1", "k2", units(F.col("norm")).alias("b"), "bins"), "line-texts")
 
 
 def sketches(texts: DataFrame) -> DataFrame:
     """texts_of() to (k1, k2, n, x0, x1, ...): the count and the sketch of a line's distinct shingles."""
-    found = F.array_distinct(F.transform(starts(F.col("b")), lambda i: shingle_hash(F.col("b"), i)))
+    # a lambda's argument is read once, a column anew for each shingle
+    found = F.transform(F.array("b"), lambda b: F.array_distinct(hashes(b)))[0]
     each = texts.select("k1", "k2", F.explode(found).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 5).bitwiseAND(F.lit(63)).cast("int"))
     each = each.select("k1", "k2", F.col("h").bitwiseAND(F.lit(WORDS - 1)).cast("int").alias("w"), bit.alias("x"))
-    words = [F.bit_xor(F.when(F.col("w") == k, F.col("x"))).alias(f"x{k}") for k in range(WORDS)]
+    words = [F.expr(f"bit_xor(x) filter (where w = {k})").alias(f"x{k}") for k in range(WORDS)]
     return cut(each.groupBy("k1", "k2").agg(F.count("*").alias("n"), *words), "sketches")
 
 
@@ -160,13 +180,11 @@ def may_reach(threshold: float) -> F.Column:
     return (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (apart <= most)
 
 
-def similar(a: str, b: str, threshold: float) -> F.Column:
-    """Whether two encoded lines' distinct shingles have the similarity; lambdas hold what is used more than once."""
-    sets = F.transform(F.array(a, b), lambda x: F.array_distinct(F.transform(starts(x), lambda i: shingle_hash(x, i))))
-    enough = F.transform(
-        F.array(sets), lambda s: F.size(F.array_intersect(s[0], s[1])) * (1 + threshold) >= (F.size(s[0]) + F.size(s[1])) * threshold - 1e-9
-    )
-    return enough[0]
+def similar(a: str, b: str, n_a: str, n_b: str, threshold: float) -> F.Column:
+    """Whether two encoded lines' distinct shingles, n_a and n_b of them, have the similarity."""
+    sets = F.transform(F.array(a, b), hashes)
+    common = F.transform(F.array(sets), lambda s: F.size(F.array_intersect(s[0], s[1])))[0]
+    return common * (1 + threshold) >= (F.col(n_a) + F.col(n_b)) * threshold - 1e-9
 
 
 def alike(a: str, b: str, threshold: float) -> F.Column:
@@ -182,21 +200,26 @@ def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, threshold: fl
     """
     left, right = side(marks, "a", F.col("k2").alias("a2")), side(marks, "b", F.col("k2").alias("b2"))
     asked = pairs.join(left, "a").join(right, "b").where(may_reach(threshold))
-    asked = cut(asked.select("a", "a2", "b", "b2"), "line-asked")
+    asked = cut(asked.select("a", "a2", "b", "b2", "a_n", "b_n"), "line-asked")
     left = texts.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("b").alias("ba"))
     right = texts.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("b").alias("bb"))
     both = asked.join(left, ["a", "a2"]).join(right, ["b", "b2"])
-    links = cut(both.where(similar("ba", "bb", threshold)).select("a", "a2", "b", "b2"), "line-links")
+    links = cut(both.where(similar("ba", "bb", "a_n", "b_n", threshold)).select("a", "a2", "b", "b2"), "line-links")
     drop(asked)
     return links
 
 
-def bucket_pairs(met: DataFrame) -> DataFrame:
-    """met (key, o, k1, first, size) to candidate pairs (a, b): each line with its bucket's first, and with its neighbour."""
+def bucket_pairs(met: DataFrame, near: int = 1) -> DataFrame:
+    """met (key, o, k1, first, size) to candidate pairs (a, b): each line with its bucket's first, and with its neighbour.
+
+    In buckets of no more than near + 1 lines each line meets the near ones before it: all pairs.
+    """
     star = met.select(F.col("first").alias("a"), F.col("k1").alias("b"))
     parts = F.ceil(F.col("size") / BUCKET)
     order = Window.partitionBy("key", F.pmod(F.col("k1"), parts)).orderBy("o", "k1")
-    chain = met.where("size > 2").select("k1", F.lag("k1").over(order).alias("p")).where("p is not null").select(F.col("p").alias("a"), F.col("k1").alias("b"))
+    before = [F.lag("k1").over(order)] + [F.when(F.col("size") <= near + 1, F.lag("k1", j).over(order)) for j in range(2, near + 1)]
+    chain = met.where("size > 2").select("k1", F.array(*before).alias("p")).select("k1", F.explode("p").alias("p")).where("p is not null")
+    chain = chain.select(F.col("p").alias("a"), F.col("k1").alias("b"))
     return star.union(chain).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -258,12 +281,24 @@ def rooted(links: DataFrame) -> DataFrame:
 def line_components(lines: DataFrame, seen: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """signatures() to (k1, k2, r1, r2) for lines that have a near copy."""
     met = buckets(band_keys(lines))
-    pairs = cut(bucket_pairs(met), "line-pairs")
+    pairs = cut(bucket_pairs(met, SMALL - 1), "line-pairs")
     texts = texts_of(met.select("k1").distinct(), lines, seen)
     marks = sketches(texts)
     links = verified(pairs, texts, marks, threshold)
-    n_links = links.count()
     roots = rooted(links)
+    large = cut(met.where(F.col("size") > SMALL), "buckets")
+    drop(met)
+    if not large.isEmpty():
+        links, roots = large_buckets(large, texts, marks, pairs, links, roots, threshold)
+    drop(large, texts, marks, links, pairs)
+    return roots
+
+
+def large_buckets(
+    met: DataFrame, texts: DataFrame, marks: DataFrame, pairs: DataFrame, links: DataFrame, roots: DataFrame, threshold: float
+) -> tuple[DataFrame, DataFrame]:
+    """links and roots with what rounds of heads, then all pairs of different components add in the buckets of met."""
+    n_links = links.count()
     tried = [pairs]
     while True:
         more = cut(mixed_pairs(met, roots.select("k1", F.col("r1").alias("root")), tried), "line-pairs")
@@ -286,15 +321,17 @@ def line_components(lines: DataFrame, seen: DataFrame, threshold: float = THRESH
         before = roots
         roots = rooted(links.union(found))
         drop(before)
-    drop(met, texts, marks, links, more, found, *tried)
-    return roots
+    drop(more, found, *tried[1:])
+    return links, roots
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, body, gone): positions of the lines that go, for every document that loses one."""
     spark = docs.sparkSession
     seen = lines_of(docs, id_col, text_col)
-    lines = cut(signatures(seen), "lines")
+    # plain columns are written and read faster than arrays
+    table = cut(signatures(seen).select("k1", "k2", "keeper", "copies", *[F.get("bins", F.lit(k)).alias(f"d{k}") for k in range(BINS)]), "lines")
+    lines = table.select("k1", "k2", "keeper", "copies", F.array(*[f"d{k}" for k in range(BINS)]).alias("bins"))
     release(spark)
     roots = line_components(lines, seen, threshold)
     facts = lines.select("k1", "k2", "keeper", "copies")
@@ -303,8 +340,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     ), "line-classes")
     keepers = classed.groupBy("r1", "r2").agg(F.min("keeper").alias("keeper"))
     told = cut(classed.drop("keeper").join(keepers, ["r1", "r2"]), "line-told")
-    drop(lines, roots, classed)
-    hits = seen.select("doc_id", "body", "pos", "k1", "k2").join(told, ["k1", "k2"]).select("doc_id", "body", "pos", "r1", "r2", "keeper")
+    drop(table, roots, classed)
+    hits = seen.select("doc_id", "body", "pos", "k1", "k2").join(told.hint("shuffle_hash"), ["k1", "k2"]).select("doc_id", "body", "pos", "r1", "r2", "keeper")
     hits = cut(hits, "line-hits")
     release(spark)
     # which line stays is settled inside the document that keeps it
@@ -322,7 +359,7 @@ def _rebuilt(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     gone = removals(docs, id_col, text_col, threshold).select(
         F.col("doc_id").alias("gone_id__"), F.col("body").alias("gone_body__"), F.col("gone").alias("gone__")
     )
-    joined = docs.join(gone, (docs[id_col] == gone["gone_id__"]) & (F.xxhash64(docs[text_col]) == gone["gone_body__"]), "left")
+    joined = docs.join(gone.hint("shuffle_hash"), (docs[id_col] == gone["gone_id__"]) & (F.xxhash64(docs[text_col]) == gone["gone_body__"]), "left")
     where = gone["gone__"]
     lines = F.split(docs[text_col], "\n")
     left = F.filter(lines, lambda _, i: ~F.array_contains(where, i))
