@@ -13,8 +13,9 @@ simulation; tests and README have the measured recall.
 
 Buckets of a few lines are expanded into all pairs, larger ones not at first: each line meets the bucket's least line and its neighbour in the order of
 another bin, so the pairs grow with the lines. Candidates are verified by the exact Jaccard similarity of their distinct
-shingles, and distributed union-find joins verified pairs to components. Members of buckets that still hold several
-components go through this again with the components' other lines as centres, until a round adds few links. What these
+shingles, and distributed union-find joins verified pairs to components. Where large buckets have many
+pairs, members of buckets that still hold several components go through this again with the components' other lines as
+centres, until a round adds few links. What these
 rounds leave is settled by all pairs of a bucket's lines of different components, so no two similar lines that share a
 bucket stay apart.
 
@@ -58,6 +59,8 @@ SMALL = 10
 WORDS = 16
 #: Rounds of heads go on while they add more than this share of the links.
 FEW = 0.1
+#: No rounds are needed if the large buckets have no more pairs than this for each line, and sketches leave less than one.
+PAIRS = 64
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -112,8 +115,8 @@ def signatures(lines: DataFrame) -> DataFrame:
         "doc_id", "k1", "k2", "i", (F.col("h").bitwiseAND(F.lit(0xFFFFF)).cast("int") % BINS).alias("bin"), F.shiftrightunsigned("h", 33).cast("int").alias("v")
     )
     found = each.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("keeper"),
-        F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).alias("copies"),
+        F.expr("min(doc_id) filter (where i = 1)").alias("keeper"),
+        F.expr("count(*) filter (where i = 1)").alias("copies"),
         *[F.expr(f"min(v) filter (where bin = {k})").alias(f"m{k}") for k in range(BINS)],
     )
     dense = found.select(
@@ -159,7 +162,8 @@ def sketches(texts: DataFrame) -> DataFrame:
     """texts_of() to (k1, k2, n, x0, x1, ...): the count and the sketch of a line's distinct shingles."""
     # a lambda's argument is read once, a column anew for each shingle
     found = F.transform(F.array("b"), lambda b: F.array_distinct(hashes(b)))[0]
-    each = texts.select("k1", "k2", F.explode(found).alias("h"))
+    # made in a step of its own, since a lambda keeps the loop over its result from being compiled
+    each = texts.select("k1", "k2", found.alias("own")).select("k1", "k2", F.explode_outer("own").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 5).bitwiseAND(F.lit(63)).cast("int"))
     each = each.select("k1", "k2", F.col("h").bitwiseAND(F.lit(WORDS - 1)).cast("int").alias("w"), bit.alias("x"))
     words = [F.expr(f"bit_xor(x) filter (where w = {k})").alias(f"x{k}") for k in range(WORDS)]
@@ -193,13 +197,17 @@ def alike(a: str, b: str, threshold: float) -> F.Column:
     return equal >= int(BINS * threshold - 5 * (BINS * threshold * (1 - threshold)) ** 0.5)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, threshold: float, sketched: bool = False) -> DataFrame:
     """pairs (a, b) of first names to links (a, a2, b, b2) whose exact similarity reaches the threshold.
 
-    Pairs whose sketches rule it out are spared the exact look.
+    Pairs whose sketches rule it out are spared the exact look, if that wasn't seen to before (sketched).
     """
-    left, right = side(marks, "a", F.col("k2").alias("a2")), side(marks, "b", F.col("k2").alias("b2"))
-    asked = pairs.join(left, "a").join(right, "b").where(may_reach(threshold))
+    if sketched:
+        of = lambda x: marks.select(F.col("k1").alias(x), F.col("k2").alias(f"{x}2"), F.col("n").alias(f"{x}_n"))
+        asked = pairs.join(of("a"), "a").join(of("b"), "b")
+    else:
+        left, right = side(marks, "a", F.col("k2").alias("a2")), side(marks, "b", F.col("k2").alias("b2"))
+        asked = pairs.join(left, "a").join(right, "b").where(may_reach(threshold))
     asked = cut(asked.select("a", "a2", "b", "b2", "a_n", "b_n"), "line-asked")
     left = texts.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("b").alias("ba"))
     right = texts.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("b").alias("bb"))
@@ -278,6 +286,19 @@ def rooted(links: DataFrame) -> DataFrame:
     return out
 
 
+def extended(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """rooted() with further links found; only the components that these join are gone through again."""
+    of = lambda x: roots.select(F.col("k1").alias(x), F.col("k2").alias(f"{x}2"), F.col("r1").alias(f"r{x}"), F.col("r2").alias(f"r{x}2"))
+    own = lambda x: [F.coalesce(f"r{x}", x).alias(x), F.coalesce(f"r{x}2", f"{x}2").alias(f"{x}2")]
+    links = found.join(of("a"), ["a", "a2"], "left").join(of("b"), ["b", "b2"], "left").select(*own("a"), *own("b"))
+    joined = rooted(cut(links, "line-links"))
+    least = joined.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
+    known = roots.join(least, ["r1", "r2"], "left").select("k1", "k2", F.coalesce("s1", "r1").alias("r1"), F.coalesce("s2", "r2").alias("r2"))
+    out = cut(known.union(joined.join(roots, ["k1", "k2"], "left_anti")), "line-roots")
+    drop(links, joined)
+    return out
+
+
 def line_components(lines: DataFrame, seen: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """signatures() to (k1, k2, r1, r2) for lines that have a near copy."""
     met = buckets(band_keys(lines))
@@ -289,15 +310,33 @@ def line_components(lines: DataFrame, seen: DataFrame, threshold: float = THRESH
     large = cut(met.where(F.col("size") > SMALL), "buckets")
     drop(met)
     if not large.isEmpty():
-        links, roots = large_buckets(large, texts, marks, pairs, links, roots, threshold)
+        roots = large_buckets(large, texts, marks, pairs, links, roots, threshold)
     drop(large, texts, marks, links, pairs)
     return roots
 
 
-def large_buckets(
-    met: DataFrame, texts: DataFrame, marks: DataFrame, pairs: DataFrame, links: DataFrame, roots: DataFrame, threshold: float
-) -> tuple[DataFrame, DataFrame]:
-    """links and roots with what rounds of heads, then all pairs of different components add in the buckets of met."""
+def large_buckets(met: DataFrame, texts: DataFrame, marks: DataFrame, pairs: DataFrame, links: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """roots with what rounds of heads, where they are needed, then all pairs of different components add in the buckets of met."""
+    own = texts.select("k1", "k2", "bins").join(met.select("k1").distinct().hint("shuffle_hash"), "k1", "left_semi")
+    shown = marks.join(own.hint("shuffle_hash"), ["k1", "k2"]).drop("k2")
+    others = lambda: other_pairs(met, roots.select("k1", F.col("r1").alias("root")), shown, [], threshold)
+    n_lines, n_pairs = met.agg(F.count("*"), F.sum("size") / 2).first()
+    more = others() if n_pairs <= PAIRS * n_lines else None
+    if more is None or more.count() > n_lines:
+        roots = head_rounds(met, texts, marks, pairs, links, roots, threshold)
+        drop(*([more] if more else []))
+        more = others()
+    found = verified(more, texts, marks, threshold, sketched=True)
+    if not found.isEmpty():
+        before = roots
+        roots = extended(roots, found)
+        drop(before)
+    drop(more, found)
+    return roots
+
+
+def head_rounds(met: DataFrame, texts: DataFrame, marks: DataFrame, pairs: DataFrame, links: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """roots with what rounds of heads add in the buckets of met, until a round adds few links."""
     n_links = links.count()
     tried = [pairs]
     while True:
@@ -306,29 +345,22 @@ def large_buckets(
         found = verified(more, texts, marks, threshold)
         n_found = found.count()
         if n_found:
-            both = cut(links.union(found), "line-links")
-            drop(links, roots)
-            links = both
-            roots = rooted(links)
+            before = roots
+            roots = extended(roots, found)
+            drop(before)
         drop(found)
         n_links += n_found
         if n_found <= FEW * n_links:
             break
-    shown = marks.join(texts.select("k1", "k2", "bins"), ["k1", "k2"]).drop("k2")
-    more = other_pairs(met, roots.select("k1", F.col("r1").alias("root")), shown, [], threshold)
-    found = verified(more, texts, marks, threshold)
-    if not found.isEmpty():
-        before = roots
-        roots = rooted(links.union(found))
-        drop(before)
-    drop(more, found, *tried[1:])
-    return links, roots
+    drop(*tried[1:])
+    return roots
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, body, gone): positions of the lines that go, for every document that loses one."""
     spark = docs.sparkSession
-    seen = lines_of(docs, id_col, text_col)
+    # read three times, which costs less than splitting the texts anew
+    seen = cut(lines_of(docs, id_col, text_col), "line-seen")
     # plain columns are written and read faster than arrays
     table = cut(signatures(seen).select("k1", "k2", "keeper", "copies", *[F.get("bins", F.lit(k)).alias(f"d{k}") for k in range(BINS)]), "lines")
     lines = table.select("k1", "k2", "keeper", "copies", F.array(*[f"d{k}" for k in range(BINS)]).alias("bins"))
@@ -343,6 +375,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     drop(table, roots, classed)
     hits = seen.select("doc_id", "body", "pos", "k1", "k2").join(told.hint("shuffle_hash"), ["k1", "k2"]).select("doc_id", "body", "pos", "r1", "r2", "keeper")
     hits = cut(hits, "line-hits")
+    drop(seen)
     release(spark)
     # which line stays is settled inside the document that keeps it
     here = Window.partitionBy("doc_id", "r1", "r2").orderBy("body", "pos")
@@ -365,7 +398,9 @@ def _rebuilt(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     left = F.filter(lines, lambda _, i: ~F.array_contains(where, i))
     text = F.when(where.isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
     n_gone = F.when(where.isNull(), 0).otherwise(F.size(where)).cast("long")
-    n_lines = F.coalesce(F.when(docs[text_col].isNotNull(), F.size(lines)), F.lit(0)).cast("long")
+    # counted without a split, which only the texts that change are worth
+    breaks = F.octet_length(docs[text_col]) - F.octet_length(F.replace(docs[text_col], F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce(breaks + 1, F.lit(0)).cast("long")
     return joined, [text.alias(c) if c == text_col else docs[c] for c in docs.columns], n_gone, n_lines - n_gone
 
 
