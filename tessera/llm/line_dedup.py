@@ -59,6 +59,8 @@ SMALL = 10
 WORDS = 16
 #: Rounds of heads go on while they add more than this share of the links.
 FEW = 0.1
+#: Bits of a sieve and of one of its pages, as powers of two; the most bounds what is broadcast, to 8 MB.
+SIEVE, PAGE = 26, 16
 #: No rounds are needed if the large buckets have no more pairs than this for each line, and sketches leave less than one.
 PAIRS = 64
 BLANK = " \t\r\x0b\x0c"
@@ -102,6 +104,11 @@ def hashes(b: F.Column) -> F.Column:
     return F.transform(starts(b), lambda i: shingle_hash(b, i))
 
 
+def all_hashes(b: str) -> F.Column:
+    """hashes() of a column: a lambda's argument is read once, a column anew for each shingle."""
+    return F.transform(F.array(b), hashes)[0]
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """lines_of() to (k1, k2, keeper, copies, bins): distinct lines with their least doc_id, and signatures."""
     coded = lines.select("doc_id", "k1", "k2", units(F.col("norm")).alias("b"))
@@ -148,20 +155,47 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return each.select("key", F.get("bins", (F.col("at") * 2 + 2) % BINS).alias("o"), "k1")
 
 
+def sieve(names: DataFrame) -> DataFrame:
+    """names (k1) to pages (page, words) of a bit array that has the low bits of every k1; some two bits a row, up to 2 ** SIEVE."""
+    bits = 1 << min(SIEVE, max(PAGE, (2 * names.count()).bit_length()))
+    at = F.col("k1").bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    every = names.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x"))
+    words = names.select(F.shiftright(at, 6).alias("w"), one.alias("x")).union(every).groupBy("w").agg(F.bit_or("x").alias("x"))
+    pages = words.groupBy(F.shiftright("w", PAGE - 6).alias("page")).agg(F.sort_array(F.collect_list(F.struct("w", "x"))).alias("all"))
+    return pages.select("page", F.col("all.x").alias("words"))
+
+
+def sifted(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """rows without most of those whose k1 sieve() wasn't told; none of the others goes."""
+    n = F.lit(pages.count() << PAGE)
+    at = F.pmod("k1", n)
+    bit = F.call_function("getbit", F.get("words", F.shiftright(at, 6).bitwiseAND(F.lit((1 << PAGE - 6) - 1)).cast("int")), at.bitwiseAND(F.lit(63)).cast("int"))
+    return rows.join(F.broadcast(pages), (F.shiftright(at, PAGE) == F.col("page")) & (bit == 1)).select(rows.columns)
+
+
 def texts_of(names: DataFrame, lines: DataFrame, seen: DataFrame) -> DataFrame:
-    """(k1, k2, b, bins): the encoded lines that names (k1) tell, read again from the documents that keep them."""
+    """(k1, k2, b, bins): the encoded lines that names (k1) tell, read again from the documents that keep them.
+
+    A sieve keeps most other lines out of the shuffles; the joins settle which ones are asked for.
+    """
+    pages = cut(sieve(names), "line-sieve")
+    seen, lines = sifted(seen.select("doc_id", "k1", "k2", "norm"), pages), sifted(lines, pages)
+    names = names.distinct()
     asked = lines.join(names.hint("shuffle_hash"), "k1", "left_semi").select("k1", "k2", F.col("keeper").alias("doc_id"), "bins")
     # asked is the smaller side by far: its hash table spares sorting the lines' texts
-    found = seen.select("doc_id", "k1", "k2", "norm").join(asked.hint("shuffle_hash"), ["doc_id", "k1", "k2"])
+    found = seen.join(asked.hint("shuffle_hash"), ["doc_id", "k1", "k2"])
     # a line has one keeper, so this is one row a line without another shuffle
     found = found.dropDuplicates(["doc_id", "k1", "k2"])
-    return cut(found.select("k1", "k2", units(F.col("norm")).alias("b"), "bins"), "line-texts")
+    out = cut(found.select("k1", "k2", units(F.col("norm")).alias("b"), "bins"), "line-texts")
+    drop(pages)
+    return out
 
 
 def sketches(texts: DataFrame) -> DataFrame:
     """texts_of() to (k1, k2, n, x0, x1, ...): the count and the sketch of a line's distinct shingles."""
-    # a lambda's argument is read once, a column anew for each shingle
-    found = F.transform(F.array("b"), lambda b: F.array_distinct(hashes(b)))[0]
+    # outside the lambda the set is made by compiled code, of longs that aren't boxed
+    found = F.array_distinct(all_hashes("b"))
     # made in a step of its own, since a lambda keeps the loop over its result from being compiled
     each = texts.select("k1", "k2", found.alias("own")).select("k1", "k2", F.explode_outer("own").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 5).bitwiseAND(F.lit(63)).cast("int"))
@@ -186,8 +220,7 @@ def may_reach(threshold: float) -> F.Column:
 
 def similar(a: str, b: str, n_a: str, n_b: str, threshold: float) -> F.Column:
     """Whether two encoded lines' distinct shingles, n_a and n_b of them, have the similarity."""
-    sets = F.transform(F.array(a, b), hashes)
-    common = F.transform(F.array(sets), lambda s: F.size(F.array_intersect(s[0], s[1])))[0]
+    common = F.size(F.array_intersect(all_hashes(a), all_hashes(b)))
     return common * (1 + threshold) >= (F.col(n_a) + F.col(n_b)) * threshold - 1e-9
 
 
@@ -303,12 +336,13 @@ def line_components(lines: DataFrame, seen: DataFrame, threshold: float = THRESH
     """signatures() to (k1, k2, r1, r2) for lines that have a near copy."""
     met = buckets(band_keys(lines))
     pairs = cut(bucket_pairs(met, SMALL - 1), "line-pairs")
-    texts = texts_of(met.select("k1").distinct(), lines, seen)
+    texts = texts_of(met.select("k1"), lines, seen)
     marks = sketches(texts)
     links = verified(pairs, texts, marks, threshold)
     roots = rooted(links)
     large = cut(met.where(F.col("size") > SMALL), "buckets")
     drop(met)
+    release(lines.sparkSession)
     if not large.isEmpty():
         roots = large_buckets(large, texts, marks, pairs, links, roots, threshold)
     drop(large, texts, marks, links, pairs)
@@ -349,6 +383,7 @@ def head_rounds(met: DataFrame, texts: DataFrame, marks: DataFrame, pairs: DataF
             roots = extended(roots, found)
             drop(before)
         drop(found)
+        release(met.sparkSession)
         n_links += n_found
         if n_found <= FEW * n_links:
             break
