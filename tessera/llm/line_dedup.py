@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.graph_components import connected_components
-from tessera.storage import cut, drop, release
+from tessera.storage import cut_quick as cut
+from tessera.storage import drop, release
 
 SHINGLE = 8
 THRESHOLD = 0.8
@@ -181,14 +182,15 @@ def texts_of(names: DataFrame, lines: DataFrame, seen: DataFrame) -> DataFrame:
     """
     pages = cut(sieve(names), "line-sieve")
     seen, lines = sifted(seen.select("doc_id", "k1", "k2", "norm"), pages), sifted(lines, pages)
-    names = names.distinct()
-    asked = lines.join(names.hint("shuffle_hash"), "k1", "left_semi").select("k1", "k2", F.col("keeper").alias("doc_id"), "bins")
+    # names are distinct, so this is a semi-join; one that is called so would be done before the sieve
+    asked = lines.join(names.distinct().hint("shuffle_hash"), "k1").select("k1", "k2", F.col("keeper").alias("doc_id"), "bins", "copies")
+    asked = cut(asked, "line-names")
     # asked is the smaller side by far: its hash table spares sorting the lines' texts
     found = seen.join(asked.hint("shuffle_hash"), ["doc_id", "k1", "k2"])
-    # a line has one keeper, so this is one row a line without another shuffle
-    found = found.dropDuplicates(["doc_id", "k1", "k2"])
+    # a line has one keeper, so this is one row a line without another shuffle; only lines that stand twice have to be sorted
+    found = found.where("copies = 1").union(found.where("copies > 1").dropDuplicates(["doc_id", "k1", "k2"]))
     out = cut(found.select("k1", "k2", units(F.col("norm")).alias("b"), "bins"), "line-texts")
-    drop(pages)
+    drop(pages, asked)
     return out
 
 
@@ -220,7 +222,8 @@ def may_reach(threshold: float) -> F.Column:
 
 def similar(a: str, b: str, n_a: str, n_b: str, threshold: float) -> F.Column:
     """Whether two encoded lines' distinct shingles, n_a and n_b of them, have the similarity."""
-    common = F.size(F.array_intersect(all_hashes(a), all_hashes(b)))
+    # their union takes one hash set, their intersection two
+    common = F.col(n_a) + F.col(n_b) - F.size(F.array_union(all_hashes(a), all_hashes(b)))
     return common * (1 + threshold) >= (F.col(n_a) + F.col(n_b)) * threshold - 1e-9
 
 
@@ -351,7 +354,10 @@ def line_components(lines: DataFrame, seen: DataFrame, threshold: float = THRESH
 
 def large_buckets(met: DataFrame, texts: DataFrame, marks: DataFrame, pairs: DataFrame, links: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """roots with what rounds of heads, where they are needed, then all pairs of different components add in the buckets of met."""
-    own = texts.select("k1", "k2", "bins").join(met.select("k1").distinct().hint("shuffle_hash"), "k1", "left_semi")
+    # most lines stand in small buckets only
+    pages = cut(sieve(met.select("k1")), "line-sieve")
+    texts, marks = sifted(texts, pages), sifted(marks, pages)
+    own = texts.select("k1", "k2", "bins").join(met.select("k1").distinct().hint("shuffle_hash"), "k1")
     shown = marks.join(own.hint("shuffle_hash"), ["k1", "k2"]).drop("k2")
     others = lambda: other_pairs(met, roots.select("k1", F.col("r1").alias("root")), shown, [], threshold)
     n_lines, n_pairs = met.agg(F.count("*"), F.sum("size") / 2).first()
@@ -365,7 +371,7 @@ def large_buckets(met: DataFrame, texts: DataFrame, marks: DataFrame, pairs: Dat
         before = roots
         roots = extended(roots, found)
         drop(before)
-    drop(more, found)
+    drop(more, found, pages)
     return roots
 
 
@@ -429,13 +435,13 @@ def _rebuilt(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     )
     joined = docs.join(gone.hint("shuffle_hash"), (docs[id_col] == gone["gone_id__"]) & (F.xxhash64(docs[text_col]) == gone["gone_body__"]), "left")
     where = gone["gone__"]
-    lines = F.split(docs[text_col], "\n")
+    # split once, for the texts that change and for the count; no column has so long a name
+    lines = "_" * (1 + max(len(c) for c in joined.columns))
+    joined = joined.select("*", F.split(docs[text_col], "\n").alias(lines))
     left = F.filter(lines, lambda _, i: ~F.array_contains(where, i))
     text = F.when(where.isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
     n_gone = F.when(where.isNull(), 0).otherwise(F.size(where)).cast("long")
-    # counted without a split, which only the texts that change are worth
-    breaks = F.octet_length(docs[text_col]) - F.octet_length(F.replace(docs[text_col], F.lit("\n"), F.lit("")))
-    n_lines = F.coalesce(breaks + 1, F.lit(0)).cast("long")
+    n_lines = F.when(docs[text_col].isNull(), 0).otherwise(F.size(lines)).cast("long")
     return joined, [text.alias(c) if c == text_col else docs[c] for c in docs.columns], n_gone, n_lines - n_gone
 
 
